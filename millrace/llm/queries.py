@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .mixing import op1_mix
 from .sharding import op9_shard
+from .simhash import op2_simhash
 from .url_filter import op7_url_filter
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_simhash": op2_simhash,
     "op7_url_filter": op7_url_filter,
     "op9_shard": op9_shard,
 }
