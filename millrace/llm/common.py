@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +77,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     child = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return child.unionByName(child.select(F.col("component").alias("node"), "component").distinct())
+
+
+class Shipped:
+    """An object of proven size, sent to the executors by value, so they need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, obj):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(obj))
+
+    @property
+    def value(self):
+        return pickle.loads(self.held.value)

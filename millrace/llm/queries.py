@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .decontam import op8_decontaminate
 from .mixing import op1_mix
 from .sharding import op9_shard
 from .simhash import op2_simhash
+from .toxicity import op6_toxicity
 from .url_filter import op7_url_filter
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_simhash": op2_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
+    "op8_decontaminate": op8_decontaminate,
     "op9_shard": op9_shard,
 }
 
