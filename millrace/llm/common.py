@@ -6,6 +6,7 @@ import pickle
 import re
 import tempfile
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +89,25 @@ class Shipped:
     @property
     def value(self):
         return pickle.loads(self.held.value)
+
+
+class Forest:
+    """Merges numbered rows along links; ``root`` of a row is the smallest row that it is linked to so far."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def merge(self, i: np.ndarray, j: np.ndarray) -> None:
+        root = self.root
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = root[root]
+                if np.array_equal(up, root):
+                    break
+                root[:] = up

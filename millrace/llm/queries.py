@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .decontam import op8_decontaminate
+from .embeddings import op10_embedding_dedup
+from .licenses import op4_license_scan
 from .mixing import op1_mix
+from .quality import op5_quality
 from .sharding import op9_shard
 from .simhash import op2_simhash
 from .toxicity import op6_toxicity
@@ -12,10 +15,13 @@ from .url_filter import op7_url_filter
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_simhash": op2_simhash,
+    "op4_license_scan": op4_license_scan,
+    "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_shard": op9_shard,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

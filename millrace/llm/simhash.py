@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import Forest, connected_components, cut, table
 
 #: Fingerprints that share a block are joined in one task if they are at most so many; larger groups are divided.
 GROUP_LIMIT = 1_000
@@ -73,7 +73,8 @@ def trie_links(group: np.ndarray, x: np.ndarray, walked: np.ndarray, errors: int
     (rows of several 64-bit numbers) a pair counts only if these differ in at most ``most`` bits.
     """
     n = len(x)
-    root = np.arange(n)
+    forest = Forest(n)
+    root, merge = forest.root, forest.merge
     ones = np.zeros((65, n + 1), np.int32)
     for d in range(64):
         np.cumsum((x >> np.uint64(63 - d)) & np.uint64(1), out=ones[d, 1:])
@@ -83,20 +84,6 @@ def trie_links(group: np.ndarray, x: np.ndarray, walked: np.ndarray, errors: int
     lo, hi, d0 = starts[big], ends[big], walked[starts[big]]
     stack = [(lo, hi, lo, hi, np.zeros(len(lo), np.int64), d0)]
 
-    def merge(i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            a, b = root[i], root[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = root[root]
-                if np.array_equal(up, root):
-                    break
-                root[:] = up
-
     def close(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if whole is None:
             return i, j
