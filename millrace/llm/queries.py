@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op8_decontaminate
 from .embeddings import op10_embedding_dedup
+from .html_extract import op3_html_extract
 from .licenses import op4_license_scan
 from .mixing import op1_mix
 from .quality import op5_quality
@@ -15,6 +16,7 @@ from .url_filter import op7_url_filter
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_simhash": op2_simhash,
+    "op3_html_extract": op3_html_extract,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
