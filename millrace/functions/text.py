@@ -149,9 +149,12 @@ class RegexTokenizer(BaseTokenizer):
 
 
 def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
-    """Runs of n tokens, joined."""
-    count = F.size(tokens) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), sep))).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens, joined: shifted copies of the array are zipped, so it is built n times and not once a run."""
+    count = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    out = F.slice(tokens, 1, count)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, k + 1, count), lambda a, b: F.concat(a, F.lit(sep), b))
+    return out
 
 
 class NGramTokenizer(BaseTokenizer):
