@@ -55,11 +55,11 @@ class _Forecaster(Params):
         raise NotImplementedError
 
     def forecast(self, steps: int = 1) -> DataFrame:
-        kind = self.rows.schema["series"].dataType.simpleString()
+        kind, model = self.rows.schema["series"].dataType.simpleString(), self.clone()
 
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
             y = pdf.sort_values("t")["y"].to_numpy(float)
-            return pd.DataFrame({"series": key[0], "step": np.arange(1, steps + 1), "prediction": self._predict(y, steps)})
+            return pd.DataFrame({"series": pdf["series"].iloc[0], "step": np.arange(1, steps + 1), "prediction": model._predict(y, steps)})
 
         return self.rows.groupBy("series").applyInPandas(run, f"series {kind}, step int, prediction double")
 
@@ -160,10 +160,10 @@ class STLDecomposition(_Forecaster):
         kind, time = self.rows.schema["series"].dataType.simpleString(), self.rows.schema["t"].dataType.simpleString()
         period = self.period
 
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("t")
             t, s, r = decompose(pdf["y"].to_numpy(float), period)
-            return pd.DataFrame({"series": key[0], "t": pdf["t"].to_numpy(), "trend": t, "seasonal": s, "resid": r})
+            return pd.DataFrame({"series": pdf["series"].iloc[0], "t": pdf["t"].to_numpy(), "trend": t, "seasonal": s, "resid": r})
 
         return self.rows.groupBy("series").applyInPandas(run, f"series {kind}, t {time}, trend double, seasonal double, resid double")
 
