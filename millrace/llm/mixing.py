@@ -22,7 +22,8 @@ def water_fill(sizes: DataFrame, share: float = 1.5, weights: Sequence[float] |
     ``source, weight`` (sources it lacks weigh 0).  All targets add up to ``share`` times all sizes as far
     as the caps of ``max_epochs`` times a source's size permit.  With sources ordered by cap / weight, the
     water level after the first k are clamped is (total - their caps) / (the rest's weights); the level
-    that holds is the one at the first source that it does not fill.  That equals clamping and resharing
+    that holds is the one at the first source that it does not fill (of equal ratios the first, whose level is
+    the highest).  That equals clamping and resharing
     until none is above its cap.  An empty table gives an empty table; sources of size 0 get 0.
     """
     if isinstance(weights, DataFrame):
@@ -42,10 +43,10 @@ def water_fill(sizes: DataFrame, share: float = 1.5, weights: Sequence[float] |
         .withColumn("_rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("_total", F.sum("source_size").over(all_rows) * F.lit(float(share)))
         .withColumn("_level", F.when(F.col("_rest") > 0, (F.col("_total") - F.col("_before")) / F.col("_rest")))
-        .withColumn("_hold", F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct("_ratio", "_level"))).over(all_rows)["_level"])
+        .withColumn("_hold", F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct("_ratio", (-F.col("_level")).alias("_low")))).over(all_rows)["_low"])
     )
     full = F.when(F.col("weight") > 0, F.col("cap")).otherwise(F.lit(0.0))
-    target = F.when(F.col("_hold").isNull(), full).otherwise(F.least(full, F.col("weight") * F.col("_hold")))
+    target = F.when(F.col("_hold").isNull(), full).otherwise(F.least(full, F.col("weight") * -F.col("_hold")))
     return t.select(*sizes.columns, "weight", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
