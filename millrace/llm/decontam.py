@@ -14,7 +14,7 @@ from .common import ALNUM, Shipped, table
 
 #: Masks over consecutive words: a 1 is read, a 0 is ignored.  Substituted words at the 0s leave the hash alone.
 #: Each reads 7 words; between them they meet any pattern of up to 2 substitutions in 13 words.
-SEEDS = ("1111111", "11101001101", "110010100111", "10111000111")
+SEEDS = ("1111111", "110110111", "1101010111", "1011100111")
 #: A hit counts if in the MIN_WORDS aligned words around it (or the whole item, if it is shorter) at least this
 #: share are equal.
 MIN_WORDS, MIN_MATCH = 13, 0.8
