@@ -8,6 +8,7 @@ or joins that stay lazy.
 from __future__ import annotations
 
 import json
+from importlib import import_module
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -50,8 +51,17 @@ class Params:
         return f"{type(self).__name__}({', '.join(f'{k}={v!r}' for k, v in self.get_params().items())})"
 
 
+_MODULES = ("operators.preprocessing", "operators.features", "operators.neighbors", "operators.sampling", "operators.learners", "operators.clustering", "operators.associations", "operators.timeseries", "operators.rules", "functions.text", "functions.kernels", "plans.splitting")
+
+
 class Registry:
-    """Component classes by kind and name, with tags."""
+    """Component classes by kind and name, with tags.  Looking up loads all modules that register components."""
+
+    def _load(self) -> None:
+        if not getattr(self, "loaded", False):
+            self.loaded = True
+            for m in _MODULES:
+                import_module(f".{m}", __package__)
 
     def __init__(self):
         self.items: dict[str, dict] = {}
@@ -64,18 +74,22 @@ class Registry:
         return cls
 
     def get(self, name: str) -> type:
+        self._load()
         if name not in self.items:
             raise KeyError(f"no component named {name!r}; see list()")
         return self.items[name]["cls"]
 
     def list(self, kind: str | None = None, tag: str | None = None) -> list[str]:
+        self._load()
         return sorted(n for n, x in self.items.items() if kind in (None, x["kind"]) and (tag is None or tag in x["tags"]))
 
     def search(self, query: str) -> list[str]:
+        self._load()
         q = query.lower()
         return sorted(n for n, x in self.items.items() if q in n.lower() or q in (x["cls"].__doc__ or "").lower() or any(q in t for t in x["tags"]))
 
     def describe(self, name: str) -> dict:
+        self._load()
         x = self.items[name]
         return {"name": name, "kind": x["kind"], "tags": x["tags"], "version": x["version"], "doc": (x["cls"].__doc__ or "").strip(), "parameters": x["cls"].get_parameter_schema()}
 
