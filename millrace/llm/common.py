@@ -1,35 +1,25 @@
-"""Helpers shared by the operators: lineage cuts, connected components, text splitting."""
+"""Helpers shared by the operators: text splitting, models sent to executors, merging of links."""
 
 from __future__ import annotations
 
 import pickle
 import re
-import tempfile
 
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.graph import connected_components, cut
+
+__all__ = ["ALNUM", "WORD", "Forest", "Shipped", "connected_components", "cut", "table", "word_count"]
+
 #: Words of the size, shingle and quality contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of the license and overlap operators, on UTF-8 bytes: ASCII letters, digits, any non-ASCII.
 ALNUM = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; set a private one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-ckpt-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,46 +30,6 @@ def word_count(text: str | F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _smallest(edges: DataFrame, key: str, val: str) -> DataFrame:
-    return edges.groupBy(key).agg(F.min(val).alias("m"))
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Component label (smallest node) of every node that has an edge.
-
-    ``edges`` has two columns of one orderable type, read as undirected links.  Alternates the
-    large-star and small-star rewrites: each round is a partial aggregate per node and an equi-join
-    back, so a hub's links are pre-aggregated before the shuffle and its rows may be split by AQE.
-    Every round is written to the checkpoint folder; nothing is gathered on the driver but two
-    numbers that tell whether a round changed the links.
-
-    Nulls and self-links are ignored.  Returns ``node, component``.
-    """
-    a, b = edges.columns[:2]
-    e = (
-        edges.where(f"{a} is not null and {b} is not null and {a} <> {b}")
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-    )
-    e, seen = cut(e), None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _smallest(both, "u", "v").select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("m < v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = _smallest(large, "u", "v")
-        near = large.join(low, "u")
-        small = near.select("u", F.col("m").alias("v")).unionByName(near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    child = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return child.unionByName(child.select(F.col("component").alias("node"), "component").distinct())
-
-
 class Shipped:
     """An object of proven size, sent to the executors by value, so they need no copy of this package."""
 
