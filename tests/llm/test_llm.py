@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from millrace.llm import decontam, embeddings, html_extract, html_training, licenses, mixing, quality, sharding, simhash, toxicity, url_filter
 from millrace.llm.common import Forest, connected_components
-from millrace.llm.queries import QUERIES
+from millrace.llm.queries import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -475,3 +476,15 @@ def test_queries_are_registered():
 
     q = E.queries()
     assert all(any(n.startswith(f"op{k}_") for n in q) for k in range(1, 11)) and "pipeline" in q
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for n in ("pages", "embeddings", "documents"):
+        con.execute(f"create view {n} as select * from '/root/testdata/sf0.01/{n}.parquet'")
+    a, b = QUERIES[name](spark, "/root/testdata/sf0.01").toPandas(), con.execute(ORACLE_SQL[name]).fetchdf()
+    key = a.columns[0]
+    a, b = (x.sort_values(key).reset_index(drop=True)[sorted(x.columns)] for x in (a, b))
+    assert list(a.columns) == list(b.columns) and len(a) == len(b)
+    assert all((x == y) or (pd.isna(x) and pd.isna(y)) for c in a.columns for x, y in zip(a[c], b[c], strict=True))
