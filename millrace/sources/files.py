@@ -146,7 +146,10 @@ def load_arff(spark: SparkSession, path: str, target=-1) -> Dataset:
 
     The header is read up to @data; rows are parsed where they lie.
     """
-    lines = spark.read.text(path)
+    return _arff(spark.read.text(path), target)
+
+
+def _arff(lines: DataFrame, target) -> Dataset:
     head = [r[0] for r in lines.where(F.lower(F.trim("value")).startswith("@attribute")).collect()]
     relation = lines.where(F.lower(F.trim("value")).startswith("@relation")).first()
     attrs = [_attribute(x) for x in head]
@@ -171,13 +174,7 @@ parse_arff = load_arff
 
 
 def parse_arff_string(spark, content: str, target=-1) -> Dataset:
-    import os
-    import tempfile
-
-    fd, path = tempfile.mkstemp(suffix=".arff")
-    with os.fdopen(fd, "w") as f:
-        f.write(content)
-    return load_arff(spark, path, target)
+    return _arff(spark.createDataFrame([(x,) for x in content.splitlines()], "value string"), target)
 
 
 def save_arff(path: str, df: DataFrame, labels: dict[str, list[str]] | None = None, relation: str = "data") -> None:
