@@ -51,7 +51,7 @@ class Params:
         return f"{type(self).__name__}({', '.join(f'{k}={v!r}' for k, v in self.get_params().items())})"
 
 
-_MODULES = ("operators.preprocessing", "operators.features", "operators.neighbors", "operators.sampling", "operators.learners", "operators.clustering", "operators.associations", "operators.timeseries", "operators.rules", "functions.text", "functions.kernels", "plans.splitting")
+_MODULES = ("operators.preprocessing", "operators.features", "operators.neighbors", "operators.sampling", "operators.learners", "operators.trees", "operators.clustering", "operators.associations", "operators.timeseries", "operators.rules", "functions.text", "functions.kernels", "plans.splitting")
 
 
 class Registry:

@@ -357,16 +357,11 @@ _ml(Classifier, "MultilayerPerceptronClassifier", "Hidden layers with a softmax
 _ml(Classifier, "DecisionTreeClassifier", "One tree over quantile bins: gini or entropy.", _TREE | {"ccp_alpha": 0.0}, lambda s, d, k: C.DecisionTreeClassifier(impurity=_impurity(s), **_tree_kw(s)))
 _ml(Regressor, "DecisionTreeRegressor", "One tree over quantile bins by variance.", _TREE | {"criterion": "squared_error", "ccp_alpha": 0.0}, lambda s, d, k: R.DecisionTreeRegressor(**_tree_kw(s)))
 _ml(Classifier, "DecisionStumpClassifier", "A tree of one split.", {"max_bins": 64}, lambda s, d, k: C.DecisionTreeClassifier(maxDepth=1, maxBins=s.max_bins))
-_ml(Classifier, "C45TreeClassifier", "An entropy tree.", {"min_samples_leaf": 2, "confidence_factor": 0.25, "unpruned": False, "max_depth": None, "max_bins": 64, "random_state": None}, lambda s, d, k: C.DecisionTreeClassifier(impurity="entropy", minInfoGain=0.001, **_tree_kw(s)))
-_ml(Regressor, "C45TreeRegressor", "A variance tree.", {"min_samples_leaf": 2, "max_depth": None, "unpruned": False, "max_bins": 64, "random_state": None}, lambda s, d, k: R.DecisionTreeRegressor(**_tree_kw(s)))
-_ml(Classifier, "ReducedErrorPruningTreeClassifier", "An entropy tree that stops at small gains.", {"max_depth": -1, "min_samples_leaf": 2, "min_variance_prop": 1e-3, "num_folds": 3, "no_pruning": False, "random_state": None, "max_bins": 64}, lambda s, d, k: C.DecisionTreeClassifier(impurity="entropy", maxDepth=12 if s.max_depth < 0 else s.max_depth, minInstancesPerNode=s.min_samples_leaf, minInfoGain=s.min_variance_prop, maxBins=s.max_bins))
-_ml(Regressor, "ReducedErrorPruningTreeRegressor", "A variance tree with pruned leaves.", {"max_depth": -1, "min_samples_leaf": 2, "min_variance_prop": 1e-3, "num_folds": 3, "no_pruning": False, "random_state": None, "max_bins": 64}, lambda s, d, k: R.DecisionTreeRegressor(maxDepth=12 if s.max_depth < 0 else s.max_depth, minInstancesPerNode=s.min_samples_leaf, maxBins=s.max_bins))
 _ml(Classifier, "RandomTreeClassifier", "One tree that sees random columns at each split.", _TREE | {"max_features": "sqrt"}, lambda s, d, k: C.RandomForestClassifier(numTrees=1, featureSubsetStrategy=_share(s, d), bootstrap=False, **_tree_kw(s)))
 _ml(Regressor, "RandomTreeRegressor", "One tree that sees random columns at each split.", _TREE | {"max_features": "sqrt"}, lambda s, d, k: R.RandomForestRegressor(numTrees=1, featureSubsetStrategy=_share(s, d), bootstrap=False, **_tree_kw(s)))
 _ml(Classifier, "RandomForestClassifier", "Bagged trees with random columns.", _FOREST, lambda s, d, k: C.RandomForestClassifier(numTrees=s.n_estimators, impurity=_impurity(s), featureSubsetStrategy=_share(s, d), **_tree_kw(s)))
 _ml(Regressor, "RandomForestRegressor", "Bagged trees with random columns.", _FOREST | {"criterion": "squared_error"}, lambda s, d, k: R.RandomForestRegressor(numTrees=s.n_estimators, featureSubsetStrategy=_share(s, d), **_tree_kw(s)))
 _ml(Classifier, "LogitBoostClassifier", "Boosted trees of depth 3 on the logistic loss.", {"base_classifier": "DecisionStumpClassifier", "n_iterations": 100, "shrinkage": 0.1, "max_depth": 3, "random_state": None}, lambda s, d, k: C.GBTClassifier(maxIter=s.n_iterations, stepSize=s.shrinkage, maxDepth=s.max_depth, seed=s.random_state or 0))
-_ml(Regressor, "M5ModelTreeRegressor", "Boosted variance trees in place of leaves with linear models.", {"min_samples_leaf": 4, "unpruned": False, "use_unsmoothed": False, "build_regression_tree": False}, lambda s, d, k: R.GBTRegressor(maxIter=30, maxDepth=4, minInstancesPerNode=s.min_samples_leaf))
 for _name in ("XGBoost", "LightGBM", "CatBoost"):
     _ml(Classifier, f"{_name}Classifier", f"Gradient-boosted trees with the parameters of {_name}, grown by Spark.", _BOOST, lambda s, d, k: C.GBTClassifier(maxIter=s.n_estimators, stepSize=min(s.learning_rate, 1.0), maxDepth=max(1, s.max_depth), subsamplingRate=s.subsample, minInstancesPerNode=max(1, int(s.min_child_weight)), maxBins=s.max_bins, seed=s.random_state or 0))
     _ml(Regressor, f"{_name}Regressor", f"Gradient-boosted trees with the parameters of {_name}, grown by Spark.", _BOOST, lambda s, d, k: R.GBTRegressor(maxIter=s.n_estimators, stepSize=min(s.learning_rate, 1.0), maxDepth=max(1, s.max_depth), subsamplingRate=s.subsample, minInstancesPerNode=max(1, int(s.min_child_weight)), maxBins=s.max_bins, seed=s.random_state or 0))
@@ -590,7 +585,7 @@ class AdaBoostClassifier(_Members, Classifier):
         rows, self.members, self.alphas = cut(df.where(F.col(label).isNotNull()).withColumn("_w", F.lit(1.0))), [], []
         for _ in range(self.n_estimators):
             base = resolve(self.base_classifier)
-            m = base._fit_ml(rows, label, self.features, weight="_w") if isinstance(base, _ML) else base.fit(rows, label, self.features)
+            m = base._fit_ml(rows, label, self.features, weight="_w") if hasattr(base, "_fit_ml") else base.fit(rows, label, self.features)
             wrong = F.coalesce((F.col("prediction") != F.col(label)).cast("double"), F.lit(1.0))
             out = m.predict(rows).withColumn("_bad", wrong)
             r = out.agg((F.sum(F.col("_w") * F.col("_bad")) / F.sum("_w")).alias("e"), F.avg("_w").alias("m")).first()
