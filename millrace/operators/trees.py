@@ -2,7 +2,8 @@
 
 Columns are cut at quantiles once; a row keeps one byte a column.  A level is one aggregate over (node, column,
 bin) of class weights or of ``n, sum(y), sum(y * y)``; running sums over the bins give every split's two sides,
-and one row per open node, its best split, reaches the driver.  So a fit costs a job a level whatever the number
+and one row per open node, its best split, reaches the driver.  (A level of at most ``SMALL`` numbers, known before
+it runs, comes as it is and is scored there, which saves two shuffles.)  So a fit costs a job a level whatever the number
 of rows, nodes are never moved, and the driver holds the tree alone.  Rows find their leaf by walking constant
 arrays in an expression whose size is that of the tree's depth and not of its number of nodes.
 
@@ -15,6 +16,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from ..base import Classifier, Regressor, classifier, clean, one_row, regressor
 from .learners import classes_of
 
 MISSING, MOST_BINS = 127, 120
+#: Numbers in a level's histograms (open nodes x bins of all columns x statistics) that the driver scores itself.
+SMALL = 400_000
 #: Depth where none is given, and classes that a tree tells apart at most.
 DEPTH, MOST_CLASSES = 12, 200
 
@@ -158,11 +162,60 @@ def binned(df: DataFrame, features: list[str], cuts: list[list[float]], stats: l
     return rows.select(F.array(*bins).cast("array<tinyint>").alias("b"), *[f"s{i}" for i in range(len(stats))])
 
 
-def _best(rows: DataFrame, tree: Tree, is_open: list[bool], width: int, task: str, criterion: str, min_leaf: float) -> list:
+def _impure(stats: np.ndarray, criterion: str) -> np.ndarray:
+    """:func:`impurity` over the last axis of an array."""
+    if criterion in ("gini", "entropy", "log_loss", "gain_ratio"):
+        n = stats.sum(axis=-1)
+        if criterion == "gini":
+            return n - (stats * stats).sum(axis=-1) / np.where(n > 0, n, 1)
+        return _plogp(n) - _plogp(stats).sum(axis=-1)
+    n, s, ss = np.moveaxis(stats, -1, 0)
+    if criterion == "sdr":
+        return np.sqrt(np.maximum(n * ss - s * s, 0))
+    return np.maximum(ss - s * s / np.where(n > 0, n, 1), 0)
+
+
+def _plogp(x: np.ndarray) -> np.ndarray:
+    return x * np.log2(np.where(x > 0, x, 1))
+
+
+def _score_here(cells: pd.DataFrame, width: int, task: str, criterion: str, min_leaf: float) -> list[dict]:
+    """The best split of each node from the cells of a small level."""
+    cells = cells[cells["bin"] < MISSING]
+    nodes, at = np.unique(cells["node"], return_inverse=True)
+    if not len(nodes):
+        return []
+    grid = np.zeros((len(nodes), cells["f"].max() + 1, cells["bin"].max() + 1, width))
+    grid[at, cells["f"], cells["bin"]] = cells[[f"s{i}" for i in range(width)]]
+    left = grid.cumsum(axis=2)
+    total = left[:, :, -1:]
+    right = total - left
+    nl, nr, n = ((x.sum(axis=-1) if task == "class" else x[..., 0]) for x in (left, right, total))
+    gain = _impure(total, criterion) - _impure(left, criterion) - _impure(right, criterion)
+    gain = np.where((nl >= min_leaf) & (nr >= min_leaf) & (nl > 0) & (nr > 0) & (gain > 1e-9), gain, -1.0)
+    score = gain
+    if criterion == "gain_ratio":
+        bins = gain.argmax(axis=2)
+        top = np.take_along_axis(gain, bins[..., None], 2)[..., 0]
+        info = np.take_along_axis(_plogp(n) - _plogp(nl) - _plogp(nr), bins[..., None], 2)[..., 0]
+        used = top > 0
+        mean = np.where(used, top, 0).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+        ratio = np.where(used & (top >= mean[:, None] - 1e-9), top / np.maximum(info, 1e-12), -1.0)
+        score = np.full(gain.shape, -1.0)
+        np.put_along_axis(score, bins[..., None], ratio[..., None], 2)
+    best = score.reshape(len(nodes), -1).argmax(axis=1)
+    f, b = np.divmod(best, score.shape[2])
+    k = np.arange(len(nodes))
+    return [{"node": int(nodes[i]), "f": int(f[i]), "bin": int(b[i]), "gain": float(gain[i, f[i], b[i]]), "left": left[i, f[i], b[i]], "right": right[i, f[i], b[i]]} for i in k if score[i, f[i], b[i]] > 0]
+
+
+def _best(rows: DataFrame, tree: Tree, is_open: list[bool], cuts: list[list[float]], width: int, task: str, criterion: str, min_leaf: float) -> list:
     """The best split of each open node, as one row."""
     s = [f"s{i}" for i in range(width)]
     at = rows.withColumn("node", tree.route("b", by_bin=True)).where(F.expr(f"get({_array(is_open)}, node) = 1"))
     cells = at.select("node", F.posexplode("b").alias("f", "bin"), *s).groupBy("node", "f", "bin").agg(*[F.sum(c).alias(c) for c in s])
+    if sum(is_open) * sum(len(c) + 2 for c in cuts) * width <= SMALL:
+        return _score_here(cells.toPandas(), width, task, criterion, min_leaf)
     whole = Window.partitionBy("node", "f")
     so_far = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sides = cells.select("node", "f", "bin", *[F.sum(c).over(so_far).alias(f"l{c}") for c in s], *[F.sum(F.when(F.col("bin") < MISSING, F.col(c)).otherwise(0.0)).over(whole).alias(f"t{c}") for c in s])
@@ -200,7 +253,7 @@ def grow(rows: DataFrame, cuts: list[list[float]], width: int, task: str, criter
         waiting = {i for i in waiting if weight_of(list(tree.stats[i]), task) >= min_split and not _pure(tree.stats[i], task) and not stop(tree.stats[i])}
         if not waiting or not cuts:
             break
-        found = _best(rows, tree, [i in waiting for i in range(len(tree.feature))], width, task, criterion, min_leaf)
+        found = _best(rows, tree, [i in waiting for i in range(len(tree.feature))], cuts, width, task, criterion, min_leaf)
         waiting = set()
         for r in sorted(found, key=lambda r: r["node"]):
             if r["gain"] < min_gain * n_all:

@@ -99,3 +99,15 @@ def test_complexity_pruning_and_upper_errors(table):
         sizes.append(len(m.tree.leaves))
     assert sizes[0] > sizes[1] > sizes[2] == 1
     assert trees.upper_errors(0, 1) == pytest.approx(0.75) and trees.upper_errors(2, 10) > 2
+
+
+@pytest.mark.parametrize("name,label", [("C45TreeClassifier", "y"), ("C45TreeRegressor", "v"), ("M5ModelTreeRegressor", "v")])
+def test_levels_scored_in_either_place_agree(table, monkeypatch, name, label):
+    _, df = table
+    df = df.withColumn("x1", F.when(F.col("x2") == 3, None).otherwise(F.col("x1")))
+    make = lambda: get_algorithm(name)(max_depth=3).fit(df, label, ["x0", "x1", "x2"]).tree
+    here = make()
+    monkeypatch.setattr(trees, "SMALL", 0)
+    there = make()
+    assert (here.feature, here.threshold, here.missing) == (there.feature, there.threshold, there.missing)
+    assert np.allclose(np.array(here.stats), np.array(there.stats))
