@@ -23,11 +23,15 @@ BLOCK_WORDS = 500_000
 _BITS = 22
 
 
+#: Words whose hash a cache keeps; beyond, it starts anew.
+CACHED = 1 << 16
+
+
 class _Words(dict):
     """64-bit hashes of words, made when first asked for."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > CACHED:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w, 7)
         return h

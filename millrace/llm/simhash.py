@@ -16,8 +16,8 @@ from .common import Forest, connected_components, cut, table
 
 #: Fingerprints that share a block are joined in one task if they are at most so many; larger groups are divided.
 GROUP_LIMIT = 1_000
-#: Node pairs that a traversal holds at a time.
-FRONTIER = 1 << 18
+#: Node pairs that a traversal takes at a time; what waits is some of these per level, 48 bytes a pair.
+FRONTIER = 1 << 15
 SHINGLES_AT_A_TIME = 1 << 14
 _ALL = (1 << 64) - 1
 

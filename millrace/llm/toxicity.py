@@ -22,9 +22,13 @@ THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Words whose hash a cache keeps; beyond, it starts anew.
+CACHED = 1 << 16
+
+
 class _Words(dict):
     def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > CACHED:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 11)
         return h
