@@ -392,6 +392,14 @@ def pairwise_manhattan(spark, d):
     return _rounded(pdist(e, "vec_id", "embedding", "manhattan"), ["distance"])
 
 
+@query("nearest_manhattan", f"with {_VEC}, p as (select a.vec_id q, b.vec_id n, list_sum(list_transform(range(1, 65), lambda k: abs(a.v[k] - b.v[k]))) d from e a, e b where a.vec_id <> b.vec_id), k as (select *, row_number() over (partition by q order by d, n) r from p) select q as query, n as neighbor, round(d, 6) as distance from k where r = 1")
+def nearest_manhattan(spark, d):
+    """Each vector's nearest other one: all rows against all rows, with a result linear in rows."""
+    e = t(spark, d, "embeddings").select("vec_id", "embedding")
+    near = knn_join(e, e, 1, "embedding", "vec_id", "manhattan", exclude_self=True)
+    return near.select("query", "neighbor", r(F.col("distance")).alias("distance"))
+
+
 @query("local_outlier_factor", f"with {_XY}, p as (select a.vec_id q, b.vec_id n, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2) d from e a, e b where a.vec_id <> b.vec_id), k as (select * from (select *, row_number() over (partition by q order by d, n) r from p) where r <= 10), kd as (select q n, max(d) kd from k group by 1), lrd as (select q, 1 / greatest(avg(greatest(d, kd)), 1e-10) l from k join kd using (n) group by 1) select k.q as vec_id, round(avg(b.l) / max(a.l), 5) as score from k join lrd a on a.q = k.q join lrd b on b.q = k.n group by 1")
 def local_outlier_factor(spark, d):
     e = _points(spark, d)

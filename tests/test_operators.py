@@ -234,3 +234,16 @@ def test_streaming(spark, two, tmp_path):
     ev = spark.createDataFrame([("2024-01-01 00:01:00", "a", 1.0), ("2024-01-01 00:05:00", "a", 2.0), ("2024-01-01 02:00:00", "a", 4.0)], "ts string, k string, v double").withColumn("ts", F.to_timestamp("ts"))
     assert {r["n"] for r in I.windowed(ev, "ts", "k", "v").collect()} == {1, 2}
     assert I.sessions(ev, "ts", "k").count() == 2
+
+
+def test_nearest_manhattan_reads_all_vectors(spark):
+    from millrace.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(e["embedding"].to_list()).astype(float)
+    dist = np.stack([np.abs(x - row).sum(1) for row in x])
+    np.fill_diagonal(dist, np.inf)
+    got = QUERIES["nearest_manhattan"](spark, d).toPandas().set_index("query")
+    assert len(got) == len(e) > 50
+    assert np.allclose(got.loc[e["vec_id"], "distance"], dist.min(1), atol=1e-5)
