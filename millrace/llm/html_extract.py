@@ -178,14 +178,18 @@ def features(nodes: list[Node], tokens: dict[str, int]) -> tuple[list[int], np.n
     out = np.zeros((len(use), len(NUMBERS) + 2 * len(TAGS) + 2 * len(tokens)), np.float32)
     row = {k: i for i, k in enumerate(use)}
     total = max(1.0, sums[0, 0])
-    seen = np.zeros(n)
+    seen, spot = np.zeros(n), [0] * n
+    like: list[dict[str, int]] = [{}] * n
     marked: list[tuple[bool, bool]] = [(False, False)] * n
     named: list[frozenset] = [frozenset()] * n
-    for x, own_kids in zip(nodes, kids, strict=True):
+    for p, own_kids in enumerate(kids):
         have = 0.0
-        for k in own_kids:
-            seen[k] = have
+        if own_kids:
+            like[p] = {}
+        for i, k in enumerate(own_kids):
+            seen[k], spot[k] = have, i
             have += sums[k, 0]
+            like[p][nodes[k].tag] = like[p].get(nodes[k].tag, 0) + 1
     for k, x in enumerate(nodes):
         if k == 0:
             continue
@@ -194,9 +198,7 @@ def features(nodes: list[Node], tokens: dict[str, int]) -> tuple[list[int], np.n
         named[k] = named[pa] | x.attrs if x.attrs else named[pa]
         if k not in row:
             continue
-        s, brothers = sums[k], kids[pa] or [k]
-        i = brothers.index(k) if len(brothers) < 200 and k in brothers else 0
-        mates = sum(nodes[b].tag == x.tag for b in brothers[max(0, i - 20) : i + 20])
+        s, brothers, i, mates = sums[k], kids[pa], spot[k], like[pa][x.tag]
         parent_chars = max(1.0, sums[pa, 0])
         after = max(0.0, parent_chars - seen[k] - s[0])
         f = out[row[k]]

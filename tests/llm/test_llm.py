@@ -192,6 +192,18 @@ def test_decode_never_contradicts():
         assert all(kept[n.parent] for n, k in zip(nodes, kept, strict=True) if k and n.parent >= 0)
 
 
+def test_siblings_of_long_pages_are_numbered():
+    n = 600
+    page = "<div>" + "".join(f"<p>word {i}</p>" if i % 2 else f"<h2>head {i}</h2>" for i in range(n)) + "</div>"
+    use, f = html_extract.features(html_extract.parse(page), {})
+    at = {name: f[1:, i] for i, name in enumerate(html_extract.NUMBERS)}
+    p, h2 = html_extract.TAGS.index("p"), html_extract.TAGS.index("h2")
+    assert np.allclose(at["place"], np.arange(n) / n)
+    assert at["first_tag"].tolist() == [-2] + [p if i % 2 else h2 for i in range(n - 1)]
+    assert at["last_tag"].tolist() == [p if i % 2 else h2 for i in range(1, n)] + [-2]
+    assert np.allclose(at["alike"], np.log1p(n // 2))
+
+
 def test_extraction_accuracy_and_odd_pages(spark):
     model = html_extract.trained()
     good = []
