@@ -158,9 +158,9 @@ def features(nodes: list[Node], tokens: dict[str, int]) -> tuple[list[int], np.n
                 s[1] += len(text.split())
                 s[3] += c if in_link[k] else 0
                 s[5] += len(_END.findall(text))
-                s[12] += sum(map(str.isdigit, text[:400]))
+                s[12] += sum(map(str.isdigit, text))
                 own[k] = c
-                low = text[:300].lower()
+                low = text.lower()
                 special[k] = ("©" in low or "&copy" in low or "copyright" in low, text.rstrip().endswith(":"))
             s[2] += x.tag == "a"
             s[4] += 1

@@ -204,6 +204,14 @@ def test_siblings_of_long_pages_are_numbered():
     assert np.allclose(at["alike"], np.log1p(n // 2))
 
 
+def test_features_read_whole_texts():
+    digits, copyright = html_extract.NUMBERS.index("digits"), html_extract.NUMBERS.index("copyright")
+    page = "<p>" + "12 ab " * 50 + "</p><p>" + "12 ab " * 5_000 + "</p><p>" + "word " * 1_000 + "</p><p>" + "word " * 1_000 + "&copy; 2020</p>"
+    use, f = html_extract.features(html_extract.parse(page), {})
+    assert abs(f[0, digits] - f[1, digits]) < 0.01 and f[2, digits] == 0
+    assert f[:, copyright].tolist() == [0, 0, 0, 1]
+
+
 def test_extraction_accuracy_and_odd_pages(spark):
     model = html_extract.trained()
     good = []
