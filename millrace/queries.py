@@ -350,6 +350,29 @@ def stopword_counts(spark, d):
     return out.where(F.length("text") > 0).select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"))
 
 
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}\p{Pc}]+')"
+
+
+@query("bigrams_all", f"with w as (select {_WORDS} w from documents), g as (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) b from w) select b as bigram, count(*) as n from g group by 1")
+def bigrams_all(spark, d):
+    """Every pair of neighbouring words of all documents, in any language."""
+    grams = T.NGramTokenizer(n=2)("text")
+    return t(spark, d, "documents").select(F.explode(grams).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tfidf_all", f"with w as (select doc_id, unnest({_WORDS}) t from documents), tf as (select doc_id, t, count(*) tf from w group by 1, 2), df as (select t, count(*) df from tf group by 1), n as (select count(*) n from documents), x as (select doc_id, t, tf * (ln((n + 1.0) / (df + 1)) + 1) v from tf join df using (t), n), s as (select doc_id, sqrt(sum(v * v)) s from x group by 1) select doc_id, t as token, round(v / s, 5) as weight from x join s using (doc_id)")
+def tfidf_all(spark, d):
+    """TF-IDF of every word of all documents, in any language."""
+    docs = t(spark, d, "documents")
+    return _rounded(T.TfidfVectorizer().fit(docs, "text").transform(docs, "doc_id"), ["weight"], 5)
+
+
+@query("clean_documents", r"select doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '(?:https?://|www\.)\S+', ' ', 'g'), '\S+@\S+\.\S+', ' ', 'g')), '[0-9]+', ' ', 'g'), '\s+', ' ', 'g')) as text from documents")
+def clean_documents(spark, d):
+    """Whole texts without markup, addresses and numbers."""
+    return T.TextCleaner(remove_numbers=True, columns=["text"]).transform(t(spark, d, "documents").select("doc_id", "text"))
+
+
 # ---------------------------------------------------------------- neighbours and clusters
 
 _VEC = "e as (select vec_id, label, cast(embedding as double[]) v from embeddings)"

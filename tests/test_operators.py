@@ -247,3 +247,16 @@ def test_nearest_manhattan_reads_all_vectors(spark):
     got = QUERIES["nearest_manhattan"](spark, d).toPandas().set_index("query")
     assert len(got) == len(e) > 50
     assert np.allclose(got.loc[e["vec_id"], "distance"], dist.min(1), atol=1e-5)
+
+
+def test_text_queries_read_all_documents(spark):
+    from millrace.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    worded = {r[0] for r in docs.where(F.size(T.WordTokenizer()("text")) > 0).select("doc_id").collect()}
+    assert {r[0] for r in QUERIES["tfidf_all"](spark, d).select("doc_id").distinct().collect()} == worded
+    words = docs.select(F.size(T.WordTokenizer()("text")).alias("n"))
+    pairs = words.agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0)))).first()[0]
+    assert QUERIES["bigrams_all"](spark, d).agg(F.sum("n")).first()[0] == pairs
+    assert QUERIES["clean_documents"](spark, d).count() == docs.count()
