@@ -443,6 +443,63 @@ def tomek_links(spark, d):
     return TomekLinksSampler(id_col="vec_id").fit(e, "y").transform(e).select("vec_id", "y")
 
 
+# ---------------------------------------------------------------- the same on whole vectors
+
+_ALL = [f"x{i}" for i in range(64)]
+
+
+def _vectors(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_ALL)])
+
+
+@query("calinski_vectors", f"with {_VEC}, u as (select label, unnest(v) x, unnest(range(1, 65)) k from e), c as (select label, k, count(*) n, avg(x) a from u group by 1, 2), m as (select k, avg(x) a from u group by 1), w as (select sum((x - a) * (x - a)) w from u join c using (label, k)), bt as (select sum(c.n * (c.a - m.a) * (c.a - m.a)) s from c join m using (k)), g as (select count(*) n, count(distinct label) k from e) select round((s / (k - 1)) / (w / (n - k)), 6) as score from bt, w, g")
+def calinski_vectors(spark, d):
+    return _one(spark, score=M.calinski_harabasz_score(_vectors(spark, d), _ALL, "label"))
+
+
+@query("silhouette_vectors", f"with {_VEC}, p as (select a.vec_id i, a.label la, b.label lb, sum(list_distance(a.v, b.v)) s, count(*) n from e a, e b group by 1, 2, 3), q as (select i, max(case when la = lb and n > 1 then s / (n - 1) end) a, min(case when la <> lb then s / n end) b from p group by 1) select i as vec_id, round(coalesce((b - a) / greatest(a, b), 0), 5) as silhouette from q")
+def silhouette_vectors(spark, d):
+    return _rounded(M.silhouette_samples(_vectors(spark, d), _ALL, "label", "euclidean", "vec_id"), ["silhouette"], 5)
+
+
+_KNN_ALL = f"with {_VEC}, p as (select a.vec_id q, b.label l, b.v[1] y, b.vec_id n, list_distance({{0}}) d from e a, e b where a.vec_id % 5 = 0 and b.vec_id % 5 <> 0), k as (select *, row_number() over (partition by q order by d, n) r from p) "
+
+
+@query("knn_classify_vectors", _KNN_ALL.format("a.v, b.v") + ", v as (select q, l, count(*) c from k where r <= 7 group by 1, 2), w as (select q, l, row_number() over (partition by q order by c desc, l) r from v) select q as vec_id, l as prediction from w where r = 1")
+def knn_classify_vectors(spark, d):
+    e = _vectors(spark, d)
+    m = KNearestNeighborsClassifier(7, id_col="vec_id").fit(e.where("vec_id % 5 <> 0"), "label", _ALL)
+    return m.predict(e.where("vec_id % 5 = 0").drop("label")).select("vec_id", "prediction")
+
+
+@query("knn_regress_vectors", _KNN_ALL.format("a.v[2:], b.v[2:]") + "select q as vec_id, round(sum(y / d) / sum(1 / d), 6) as prediction from k where r <= 7 group by 1")
+def knn_regress_vectors(spark, d):
+    """The first component from the 63 others."""
+    e = _vectors(spark, d)
+    m = KNearestNeighborsRegressor(7, "inverse", id_col="vec_id").fit(e.where("vec_id % 5 <> 0"), "x0", _ALL[1:])
+    return _rounded(m.predict(e.where("vec_id % 5 = 0").drop("x0")).select("vec_id", "prediction"), ["prediction"])
+
+
+@query("local_outlier_factor_vectors", f"with {_VEC}, p as (select a.vec_id q, b.vec_id n, list_distance(a.v, b.v) d from e a, e b where a.vec_id <> b.vec_id), k as (select * from (select *, row_number() over (partition by q order by d, n) r from p) where r <= 10), kd as (select q n, max(d) kd from k group by 1), lrd as (select q, 1 / greatest(avg(greatest(d, kd)), 1e-10) l from k join kd using (n) group by 1) select k.q as vec_id, round(avg(b.l) / max(a.l), 5) as score from k join lrd a on a.q = k.q join lrd b on b.q = k.n group by 1")
+def local_outlier_factor_vectors(spark, d):
+    e = _vectors(spark, d)
+    s = LocalOutlierFactorDetector(10, id_col="vec_id").fit(e, None, _ALL).decision_function(e)
+    return s.select("vec_id", r(F.col("score"), 5).alias("score"))
+
+
+@query("dbscan_vectors", f"with recursive {_VEC}, p as (select a.vec_id a, b.vec_id b, list_distance(a.v, b.v) d from e a, e b), n as (select a, b, d from p where d <= 1.15), core as (select a from n group by 1 having count(*) >= 4), cl as (select a, b from n where a in (from core) and b in (from core)), reach as (select a, a as b from core union select r.a, cl.b from reach r join cl on cl.a = r.b), comp as (select a, min(b) c from reach group by 1), num as (select a, dense_rank() over (order by c) - 1 k from comp), near as (select n.a, k, row_number() over (partition by n.a order by d, k) r from n join num on num.a = n.b) select vec_id, cast(coalesce(k, -1) as int) as cluster from e left join (select * from near where r = 1) x on x.a = e.vec_id")
+def dbscan_vectors(spark, d):
+    e = _vectors(spark, d).drop("label")
+    m = DBSCANClusterer(1.15, 4, id_col="vec_id").fit(e, None, _ALL)
+    return m.predict(e).select("vec_id", F.col("prediction").cast("int").alias("cluster"))
+
+
+@query("tomek_links_vectors", f"with {_VEC}, f as (select vec_id, cast(label = 0 as int) y, v from e), p as (select a.vec_id q, b.vec_id n, a.y ya, b.y yb, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) r from f a, f b where a.vec_id <> b.vec_id), k as (select * from p where r = 1), l as (select k.q from k join k m on k.n = m.q and m.n = k.q where k.ya <> k.yb and k.ya = 0) select vec_id, y from f where vec_id not in (select q from l)")
+def tomek_links_vectors(spark, d):
+    e = _vectors(spark, d).select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *_ALL)
+    return TomekLinksSampler(id_col="vec_id").fit(e, "y").transform(e).select("vec_id", "y")
+
+
 # ---------------------------------------------------------------- association rules
 
 _BASKETS = "b as (select distinct l_orderkey o, p_brand i from lineitem join part on p_partkey = l_partkey)"
