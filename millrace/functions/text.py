@@ -188,12 +188,13 @@ class TreebankTokenizer(BaseTokenizer):
 
 
 class CountVectorizer(Params):
-    """A bounded vocabulary from document frequencies, ordered by falling frequency, then token.
+    """A vocabulary from document frequencies, ordered by falling frequency, then token; cut only by ``max_features``
+    or ``max_vocabulary``.
 
     ``transform`` adds ``counts``, a map from token to count in the document; terms never become a dense matrix.
     """
 
-    defaults = {"tokenizer": None, "max_features": None, "min_df": 1, "max_df": 1.0, "binary": False, "lowercase": True, "stop_words": None, "ngram_range": (1, 1), "max_vocabulary": 1_000_000}
+    defaults = {"tokenizer": None, "max_features": None, "min_df": 1, "max_df": 1.0, "binary": False, "lowercase": True, "stop_words": None, "ngram_range": (1, 1), "max_vocabulary": None}
 
     def _tokens(self, column: str) -> Column:
         t = (self.tokenizer or WordTokenizer(self.lowercase))(column)
@@ -209,8 +210,9 @@ class CountVectorizer(Params):
         least = self.min_df if self.min_df >= 1 and not isinstance(self.min_df, float) else self.min_df * self.n_docs
         most = self.max_df if isinstance(self.max_df, int) else self.max_df * self.n_docs
         freq = df.select(F.explode(F.array_distinct(self._tokens(column))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        freq = freq.where((F.col("df") >= least) & (F.col("df") <= most)).orderBy(F.desc("df"), "token").limit(self.max_features or self.max_vocabulary)
-        self.vocabulary = freq
+        freq = freq.where((F.col("df") >= least) & (F.col("df") <= most)).orderBy(F.desc("df"), "token")
+        most = self.max_features or self.max_vocabulary
+        self.vocabulary = freq.limit(most) if most else freq
         return self
 
     def terms(self, df: DataFrame, id_col: str) -> DataFrame:

@@ -6,6 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..base import Filter, SupervisedTransformer, Transformer, clean, filter_method, numeric_columns, one_row, transformer
 
@@ -17,6 +18,12 @@ def _lookup(c: Column, table: dict, default: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*map(F.lit, chain.from_iterable(table.items()))), c), default)
 
 
+def numbered(rows: DataFrame, c: str) -> DataFrame:
+    """``_kept, _code``: the values of a sorted table, numbered from 0 in its order where they are."""
+    kept = T.StructType([T.StructField("_kept", rows.schema[c].dataType), T.StructField("_code", T.DoubleType())])
+    return rows.sparkSession.createDataFrame(rows.select(c).rdd.zipWithIndex().map(lambda x: (x[0][0], float(x[1]))), kept)
+
+
 class _Columns(Transformer):
     """Keeps numbers for each column from one aggregate; ``_stats`` names them and ``_apply`` uses them."""
 
@@ -146,26 +153,36 @@ class OneHotEncoder(_Categories):
 
 @transformer
 class OrdinalEncoder(_Categories):
-    """Codes by first appearance in the order of ``order_by`` (else sorted) or in the given order; unseen -1."""
+    """Codes by first appearance in the order of ``order_by`` (else sorted) or in the given order; unseen -1.
+
+    The codes of more than ``max_categories`` categories stay a table that is joined.
+    """
 
     defaults = {"categories": None, "columns": None, "order_by": None}
 
     def fit(self, df, y=None):
         self.names = self._text_columns(df, y)
-        self.codes = {}
+        self.codes, self.tables = {}, {}
         for c in self.names:
             if self.categories and c in self.categories:
-                cats = list(self.categories[c])
-            elif self.order_by:
+                self.codes[c] = {v: float(i) for i, v in enumerate(self.categories[c])}
+                continue
+            if self.order_by:
                 first = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(F.struct(*[F.col(o) for o in ([self.order_by] if isinstance(self.order_by, str) else self.order_by)])).alias("o"))
-                cats = [r[0] for r in first.orderBy("o", c).select(c).limit(self.max_categories).collect()]
+                rows = first.orderBy("o", c).select(c)
+            else:
+                rows = df.select(F.col(c)).where(F.col(c).isNotNull()).distinct().orderBy(c)
+            cats = [r[0] for r in rows.limit(self.max_categories + 1).collect()]
+            if len(cats) > self.max_categories:
+                self.tables[c] = numbered(rows, c)
             else:
-                cats = self._order(df, c)
-            self.codes[c] = {v: float(i) for i, v in enumerate(cats)}
+                self.codes[c] = {v: float(i) for i, v in enumerate(cats)}
         return self
 
     def transform(self, df):
-        return df.withColumns({c: F.when(F.col(c).isNotNull(), _lookup(F.col(c), self.codes[c], F.lit(-1.0))) for c in self.names})
+        for c, table in self.tables.items():
+            df = df.join(table, F.col(c) == F.col("_kept"), "left").withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce("_code", F.lit(-1.0)))).drop("_kept", "_code")
+        return df.withColumns({c: F.when(F.col(c).isNotNull(), _lookup(F.col(c), codes, F.lit(-1.0))) for c, codes in self.codes.items()})
 
 
 @transformer

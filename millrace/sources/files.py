@@ -15,17 +15,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.preprocessing import numbered
+
+#: Labels of a column that are kept on the driver and in the plan; beyond, they are joined.
+MAX_LABELS = 100_000
 MISSING = ("", "na", "nan", "?", "null", "none")
 
 
 @dataclass
 class Dataset:
-    """A DataFrame with the names of its features and target and the labels of its nominal columns."""
+    """A DataFrame with the names of its features and target and the labels of its nominal columns.
+
+    ``tables`` has ``_kept, _code`` (label and index) for columns with more than ``MAX_LABELS`` labels instead.
+    """
 
     frame: DataFrame
     target: str | None = None
     labels: dict[str, list[str]] = field(default_factory=dict)
     name: str = ""
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def features(self) -> list[str]:
@@ -48,11 +56,17 @@ def encode(df: DataFrame, target: str | None, handle_categorical: str = "encode"
         raise ValueError(f"text columns: {texts}")
     if handle_categorical == "drop":
         return Dataset(df.drop(*[c for c in texts if c != target]), target)
-    labels = {}
+    labels, tables = {}, {}
     for c in texts:
-        labels[c] = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(100_000).collect()]
+        rows = df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c)
+        found = [r[0] for r in rows.limit(MAX_LABELS + 1).collect()]
+        if len(found) > MAX_LABELS:
+            names, tables[c] = df.columns, numbered(rows, c)
+            df = df.join(tables[c], F.col(c) == F.col("_kept"), "left").withColumn(c, F.col("_code")).select(*names)
+            continue
+        labels[c] = found
         df = df.withColumn(c, (F.array_position(F.array(*map(F.lit, labels[c])), F.col(c)) - 1).cast("double") if labels[c] else F.lit(None).cast("double"))
-    return Dataset(df, target, labels)
+    return Dataset(df, target, labels, tables=tables)
 
 
 def load_csv(spark: SparkSession, path: str, target=-1, header: bool = True, delimiter: str = ",") -> Dataset:

@@ -274,3 +274,19 @@ def test_vector_queries_use_all_components(spark, tmp_path):
     assert (got["prediction"] == got["vec_id"] % 3).all()
     assert QUERIES["silhouette_vectors"](spark, str(tmp_path)).agg(F.min("silhouette")).first()[0] > 0.9
     assert QUERIES["dbscan_vectors"](spark, str(tmp_path)).select("cluster").distinct().count() == 3
+
+
+def test_no_silent_caps(spark, monkeypatch):
+    v = T.CountVectorizer()
+    assert v.max_vocabulary is None and T.CountVectorizer(max_features=2).fit(spark.createDataFrame([("a b c",)], "t string"), "t").vocabulary.count() == 2
+    docs = spark.range(1, 4).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(400_000)), lambda i: F.concat(F.lit("w"), (i + 400_001 * F.col("id")).cast("string"))), " ").alias("t"))
+    assert v.fit(docs, "t").vocabulary.count() == 1_200_003
+    rows = spark.createDataFrame([("d", 1), ("b", 2), ("a", 3), ("c", 4), (None, 5), ("d", 6)], "c string, o int")
+    monkeypatch.setattr(P.OrdinalEncoder, "max_categories", 2)
+    first = P.OrdinalEncoder(columns=["c"], order_by="o").fit(rows).transform(rows.unionByName(spark.createDataFrame([("x", 7)], "c string, o int")))
+    assert [r["c"] for r in first.orderBy("o").collect()] == [0, 1, 2, 3, None, 0, -1]
+    assert [r["c"] for r in P.OrdinalEncoder(columns=["c"]).fit_transform(rows).orderBy("o").collect()] == [3, 1, 0, 2, None, 3]
+    monkeypatch.setattr(files, "MAX_LABELS", 2)
+    out = files.encode(rows, None)
+    assert out.frame.columns == ["c", "o"] and [r["c"] for r in out.frame.orderBy("o").collect()] == [3, 1, 0, 2, None, 3]
+    assert {r["_kept"]: r["_code"] for r in out.tables["c"].collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
