@@ -63,8 +63,14 @@ class Index:
         self.seeds, self.min_words, self.min_match = seeds, min_words, min_match
         self.items = [(i, w) for i, t in items if len(w := word_hashes(t, cache))]
         self.tables = []
-        for mask in seeds:
-            rows = [(seed_hashes(w, mask), k) for k, (_, w) in enumerate(self.items)]
+        # An item shorter than min_words may differ in so many words that only a run of its share of the rest is equal for sure.
+        runs: dict[str, set[int]] = {}
+        for k, (_, w) in enumerate(self.items):
+            if min(map(len, seeds)) <= len(w) < min_words:
+                differ = int(len(w) - min_match * len(w) + 1e-9)
+                runs.setdefault("1" * max(1, len(w) // (differ + 1)), set()).add(k)
+        for mask, only in [*((m, None) for m in seeds), *runs.items()]:
+            rows = [(seed_hashes(w, mask), k) for k, (_, w) in enumerate(self.items) if only is None or k in only]
             h = np.concatenate([r for r, _ in rows]) if rows else np.zeros(0, np.uint64)
             k = np.concatenate([np.full(len(r), k, np.int64) for r, k in rows]) if rows else np.zeros(0, np.int64)
             p = np.concatenate([np.arange(len(r)) for r, _ in rows]) if rows else np.zeros(0, np.int64)
@@ -93,7 +99,7 @@ class Index:
             for a in np.flatnonzero(w[: len(w) - len(x) + 1] == x[0]) if len(w) >= len(x) else ():
                 if np.array_equal(w[a : a + len(x)], x):
                     out[i, -1 - int(a)] = (i, int(a), len(x), 1.0)
-        return sorted(out.values())
+        return sorted(out.values(), key=lambda x: (x[0] is None, x[0] or 0, *x[1:]))
 
     def _verify(self, w: np.ndarray, item: int, shift: int, at: int) -> tuple[int, int, int, float] | None:
         """The longest aligned stretch around the hit in which enough words are equal."""
@@ -119,7 +125,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
     """The benchmark's items in blocks of bounded size, as they come to the driver one partition at a time."""
     held: list[tuple[int, str | None]] = []
     size = 0
-    for r in benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull()).distinct().toLocalIterator():
+    for r in benchmark.select(id_col, text_col).distinct().toLocalIterator():
         n = len((r[1] or "").split())
         if held and size + n > block_words:
             yield held
@@ -147,8 +153,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     Words are runs of ASCII letters, digits and non-ASCII characters with A-Z lower-cased.  Every window of
     both sides is hashed under each mask; equal hashes are hits, and around a hit the aligned words are
     compared: it counts if some ``min_words`` of them (the whole item, if shorter) agree in a share of
-    ``min_match``, which a substituted word does not prevent.  Items shorter than every mask must stand
-    whole.  The benchmark is the stated query set: it is read in blocks of ``block_words`` words, each sent to
+    ``min_match``, which a substituted word does not prevent.  Items shorter than ``min_words`` are also
+    sought by runs of words short enough that one is equal in every allowed overlap; items shorter than every
+    mask must stand whole.  Items without an id are sought too and reported with a null id.  The benchmark is the stated query set: it is read in blocks of ``block_words`` words, each sent to
     the executors and held against all rows where they are read, so rows are never shuffled and one text in
     thousands of copies costs nothing but its own scan.  Null or empty texts and items have no overlaps; an
     empty benchmark finds none; all rows and columns are kept.

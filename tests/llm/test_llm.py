@@ -388,6 +388,25 @@ def test_seeds_meet_two_substitutions():
             assert any(all(i + k not in bad for k, c in enumerate(m) if c == "1") for m in decontam.SEEDS for i in range(spans - len(m) + 1)), (a, b)
 
 
+@pytest.mark.parametrize("n,differ", [(7, 1), (8, 1), (9, 1), (10, 2), (11, 2), (12, 2)])
+def test_short_items_meet_every_substitution(n, differ):
+    item = [f"w{i}" for i in range(n)]
+    index, cache = decontam.Index([(5, " ".join(item))]), decontam._Words()
+    for a in range(n):
+        for b in range(a, n) if differ == 2 else (a,):
+            text = ["before", *("zzz" if i in (a, b) else x for i, x in enumerate(item)), "after"]
+            assert [h[0] for h in index.find(decontam.word_hashes(" ".join(text), cache))] == [5], (a, b)
+
+
+def test_items_without_an_id_are_sought(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(None, text), (1, text)], "item_id long, text string")
+    docs = docs_of(spark, ["x " + text + " y", "nothing of it"])
+    got = decontam.with_hits(docs, bench).orderBy("doc_id").collect()
+    assert [h["item_id"] for h in got[0]["_hits"]] == [1, None] and not got[1]["_hits"]
+    assert decontam.decontaminate(docs, bench.where("item_id is null")).count() == 1
+
+
 # ---------------------------------------------------------------- 9
 
 
