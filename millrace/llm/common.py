@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components, cut
 
-__all__ = ["ALNUM", "WORD", "Forest", "Shipped", "connected_components", "cut", "table", "word_count"]
+__all__ = ["ALNUM", "WORD", "Forest", "Shipped", "connected_components", "cut", "free_prefix", "table", "word_count"]
 
 #: Words of the size, shingle and quality contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,14 @@ def word_count(text: str | F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_prefix(df: DataFrame, *names: str) -> str:
+    """Underscores that, put before each of ``names``, give names that no column of ``df`` has in any case."""
+    taken, prefix = {c.lower() for c in df.columns}, "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return prefix
+
+
 class Shipped:
     """An object of proven size, sent to the executors by value, so they need no copy of this package."""
 

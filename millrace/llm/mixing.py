@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_count
+from .common import cut, free_prefix, table, word_count
 
 #: A source's documents fall into 2 ** bits buckets by seeded hash, and those of its boundary bucket into as
 #: many again; bits are chosen so that a boundary sub-bucket, which is put in order in one task, holds about
@@ -95,7 +96,7 @@ def _plan(narrow: DataFrame, share: float, weights, max_epochs: float) -> DataFr
     return plan.select(F.col("source").alias("_k"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "bits", "wanted", "edge0", "edge1", "left1")
 
 
-def _mixed(docs: DataFrame, size: Column, plan: DataFrame, id_col: str) -> DataFrame:
+def _mixed(docs: DataFrame, size: Column, plan: DataFrame, id_col: str, most: int) -> DataFrame:
     rows = docs.join(_small(plan), F.col("_src").eqNullSafe(F.col("_k"))).drop("_k")
     b0, b1 = _bucket(0), _bucket(1)
     at_edge = F.coalesce((b0 == F.col("edge0")) & (b1 == F.col("edge1")), F.lit(False))
@@ -111,7 +112,7 @@ def _mixed(docs: DataFrame, size: Column, plan: DataFrame, id_col: str) -> DataF
     last = F.min(F.when(~F.col("_fits") & (miss < F.col("_gap")), F.struct(miss.alias("miss"), "_nth"))).over(whole)
     outer = outer.withColumn("_more", (F.col("_fits") | F.coalesce(last["_nth"] == F.col("_nth"), F.lit(False))).cast("int"))
     outer = outer.drop("_nth", "_cum", "_fits", "_gap")
-    out = inner.unionByName(outer).withColumn("_reps", (F.col("_whole") + F.col("_more")).cast("int"))
+    out = inner.unionByName(outer).withColumn("_reps", F.least(F.col("_whole") + F.col("_more"), F.lit(most)).cast("int"))
     return out.drop("_whole", "_more", "bits", "wanted", "edge0", "edge1", "left1", "_src", "_u")
 
 
@@ -124,6 +125,7 @@ def mix(
     seed: int = 17,
     id_col: str = "doc_id",
     source_col: str = "source",
+    prefix: str = "_",
 ) -> DataFrame:
     """Repeat documents so that each source gives its target of words; see :func:`water_fill`.
 
@@ -132,26 +134,42 @@ def mix(
     never built for a large source: words are summed by hash bucket, buckets before the boundary are taken
     whole, and only documents of the boundary bucket's boundary sub-bucket are put in order.
     Returns all columns of ``docs`` and ``_size, _source_size, _target, _reps`` (times a document is used,
-    0 included).  Reruns agree; rows equal in id and size are exchangeable.
+    0 included, ``max_epochs`` rounded up at most, empty documents too).  Reruns agree; rows equal in id and size
+    are exchangeable.  ``prefix`` replaces the underscore of the new columns; a column of ``docs`` that has the
+    name of a new one is replaced by it.
 
     ``size``: words of a row, by default of its column ``text``.  A null source is a source of its own, a
     null text has 0 words, an empty table gives no rows, extra columns are kept whatever their names.
     """
-    names = {c: f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    new = [prefix + c for c in NEW]
+    names = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c.lower() not in new}
     size = word_count("text") if size is None else size
     text = F.col("text") if "text" in docs.columns else None
-    prepared = docs.withColumn("_size0", F.coalesce(size, F.lit(0)).cast("long")).withColumn("_u0", _place(id_col, seed, text))
-    narrow = cut(prepared.select(F.col(source_col).alias("source"), F.col("_size0").alias("_size"), F.col("_u0").alias("_u")))
+    own = [F.coalesce(size, F.lit(0)).cast("long").alias("_s"), _place(id_col, seed, text).alias("_u")]
+    narrow = cut(docs.select(F.col(source_col).alias("source"), own[0].alias("_size"), own[1]))
     plan = _plan(narrow, share, weights, max_epochs)
-    held = prepared.select(*[F.col(c).alias(k) for c, k in names.items()], F.col(source_col).alias("_src"), F.col("_u0").alias("_u"), F.col("_size0").alias("_s"))
-    out = _mixed(held, F.col("_s"), plan, names[id_col]).drop("_s")
-    return out.select(*[F.col(k).alias(c) for c, k in names.items()], "_size", "_source_size", "_target", "_reps")
+    held = docs.select(*[F.col(c).alias(k) for c, k in names.items()], F.col(source_col).alias("_src"), F.col(id_col).alias("_key"), *own)
+    out = _mixed(held, F.col("_s"), plan, "_key", math.ceil(max_epochs))
+    return out.select(*[F.col(k).alias(c) for c, k in names.items()], *[F.col("_" + c).alias(prefix + c) for c in NEW])
 
 
-def repeat(mixed: DataFrame) -> DataFrame:
-    """One row for each repetition; documents that are not used go."""
-    keep = [c for c in mixed.columns if c not in ("_size", "_source_size", "_target", "_reps")]
-    return mixed.where("_reps > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_reps")))).select(*keep)
+#: Columns that :func:`mix` adds, without their prefix.
+NEW = ("size", "source_size", "target", "reps")
+
+
+def repeat(mixed: DataFrame, prefix: str = "_") -> DataFrame:
+    """One row for each repetition, without the columns of :func:`mix`; documents that are not used go."""
+    new = [prefix + c for c in NEW]
+    keep = [c for c in mixed.columns if c not in new]
+    reps = F.col(prefix + "reps")
+    copies = free_prefix(mixed, "copy") + "copy"
+    return mixed.where(reps > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), reps))).select(*keep)
+
+
+def mixed_rows(docs: DataFrame, **rules) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix` uses it; all columns are kept, whatever their names."""
+    prefix = free_prefix(docs, *NEW)
+    return repeat(mix(docs, prefix=prefix, **rules), prefix)
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
