@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, free_prefix, table
 
 #: Ranges for each shard and rows of a range, so that a range is a small part of a shard and of a task's memory.
 RANGES_PER_SHARD, ROWS_PER_RANGE = 64, 2_000_000
@@ -17,33 +17,63 @@ RANGES_PER_SHARD, ROWS_PER_RANGE = 64, 2_000_000
 OVERSAMPLE = 24
 
 
-def _keys(docs: DataFrame, size: Column, group: Column, seed: int) -> list[Column]:
+#: Columns that :func:`shard` adds, without their prefix.
+NEW = ("size", "shard", "slot")
+
+
+def _keys(size: Column, group: Column, id_col: str, seed: int) -> list[Column]:
     """Size, group key and a place within the group; the low bits of the place are random, so even rows that
     repeat a document whole can be divided."""
     salt = (F.rand(seed) * (1 << 20)).cast("long")
-    place = F.xxhash64(F.lit(seed), F.col("_id")).bitwiseAND(F.lit(-(1 << 20))).bitwiseOR(salt)
+    place = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit(-(1 << 20))).bitwiseOR(salt)
     return [size.cast("long").alias("_size"), group.alias("_h1"), place.alias("_h2")]
 
 
-def splitters(narrow: DataFrame, n_ranges: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def splitters(narrow: DataFrame, n_ranges: int, seed: int, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Start keys (h1, h2) of the ranges after the first, ascending.
 
     A row is drawn with a chance in proportion to half its share of all bytes plus half its share of all rows,
     so about OVERSAMPLE * n_ranges keys reach the driver whatever the size of the table.  A quantile that falls
     within a group moves to the group's start; a group with several quantiles is a heavy one: it gets a range
-    border on both sides and the quantiles' places within.
+    border on both sides and the quantiles' places within.  Then the ranges are measured; those over twice their
+    share, which the sample has missed, are sampled again by themselves and subdivided, in ``rounds`` rounds at
+    most (a range of one row can't be divided).
     """
     total, count = narrow.agg(F.sum("_size"), F.count("*")).first()
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not count:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none
     weight = F.col("_size") / F.lit(2.0 * max(total, 1)) + F.lit(0.5 / count)
     drawn = F.least(F.lit(1.0), weight * F.lit(float(OVERSAMPLE * n_ranges)))
-    got = narrow.withColumn("_w", weight).withColumn("_p", drawn).where(F.rand(seed + 1) < F.col("_p"))
-    pdf = got.select("_h1", "_h2", (F.col("_w") / F.col("_p")).alias("_v")).toPandas().sort_values(["_h1", "_h2"])
-    if pdf.empty:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k1, k2 = none
+    over: list[int] | None = None
+    for k in range(rounds):
+        rows = narrow.withColumn("_w", weight).withColumn("_p", drawn)
+        if over is not None:
+            rows = rows.withColumn("_range", _range_of(k1, k2)("_h1", "_h2")).where(F.col("_range").isin(over))
+        got = rows.where(F.rand(seed + 1 + k) < F.col("_p"))
+        borders = set(zip(k1.tolist(), k2.tolist(), strict=True))
+        part = F.col("_range") if over is not None else F.lit(0).alias("_range")
+        for _, pdf in got.select(part, "_h1", "_h2", (F.col("_w") / F.col("_p")).alias("_v")).toPandas().groupby("_range"):
+            borders |= _borders(pdf, n_ranges)
+        if len(borders) == len(k1):
+            break
+        keys = sorted(borders)
+        k1, k2 = np.array([b[0] for b in keys], np.int64), np.array([b[1] for b in keys], np.int64)
+        per = narrow.groupBy(_range_of(k1, k2)("_h1", "_h2").alias("_range")).agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+        over = [r["_range"] for r in per.where((F.col("w") > 2.0 / n_ranges) & (F.col("n") > 1)).select("_range").collect()]
+        if not over:
+            break
+    return k1, k2
+
+
+def _borders(pdf: pd.DataFrame, n_ranges: int) -> set[tuple[int, int]]:
+    """Quantile borders of a sample (``_h1, _h2`` and the weight ``_v`` that each row stands for), a share of
+    1 / n_ranges apart."""
+    pdf = pdf.sort_values(["_h1", "_h2"])
     cum = pdf["_v"].cumsum().to_numpy()
-    at = np.unique(np.searchsorted(cum, cum[-1] * np.arange(1, n_ranges) / n_ranges))
+    n = max(1, round(cum[-1] * n_ranges))
+    at = np.unique(np.searchsorted(cum, cum[-1] * np.arange(1, n) / n))
     h1, h2 = pdf["_h1"].to_numpy()[at], pdf["_h2"].to_numpy()[at]
     low, borders = np.iinfo(np.int64).min, set()
     groups, times = np.unique(h1, return_counts=True)
@@ -54,8 +84,7 @@ def splitters(narrow: DataFrame, n_ranges: int, seed: int) -> tuple[np.ndarray,
             borders.add((a, b))
             if a < np.iinfo(np.int64).max:
                 borders.add((a + 1, low))
-    keys = sorted(borders)
-    return np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
+    return borders
 
 
 def _range_of(k1: np.ndarray, k2: np.ndarray):
@@ -103,8 +132,9 @@ def assign(ranges: pd.DataFrame, k1: np.ndarray, n_shards: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, n_shards: int = 8, size: Column | None = None, group: Column | None = None, id_col: str = "doc_id", seed: int = 29) -> DataFrame:
-    """Put rows into ``n_shards`` shards of near equal bytes; add ``_size, _shard, _slot``.
+def shard(docs: DataFrame, n_shards: int = 8, size: Column | None = None, group: Column | None = None, id_col: str = "doc_id", seed: int = 29, prefix: str = "_") -> DataFrame:
+    """Put rows into ``n_shards`` shards of near equal bytes; add ``_size, _shard, _slot`` (``prefix`` replaces the
+    underscore; a column of ``docs`` that has the name of a new one is replaced by it).
 
     Rows are keyed by a hash of their group (by default equal texts) and their place in it.  Size-weighted
     samples of the keys give quantile borders of many ranges for each shard; ranges are measured exactly and
@@ -112,14 +142,14 @@ def shard(docs: DataFrame, n_shards: int = 8, size: Column | None = None, group:
     its ranges are divided among shards.  A slot numbers a shard's rows without gaps from 0: rows are numbered
     within each range, and a range starts where the one before it in its shard ends; so no task orders more than
     a range.  A null text has no bytes, and all null texts are a group, the same as empty ones.  An empty table
-    gives no rows.  Rows that repeat a document take slots of their own.
+    gives no rows.  Rows that repeat a document take slots of their own; rows without an id are placed like others.
     """
     text = F.coalesce(F.col("text"), F.lit("")) if "text" in docs.columns else None
     size = F.octet_length(text) + 1 if size is None else size
     group = F.xxhash64(F.lit(seed), text) if group is None else F.xxhash64(F.lit(seed), group)
-    names = {c: f"_kept_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.withColumn("_id", F.col(id_col))
-    rows = cut(rows.select(*[F.col(c).alias(k) for c, k in names.items()], *_keys(rows, size, group, seed), F.col("_id")))
+    new = [(prefix + c).lower() for c in NEW]
+    names = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c.lower() not in new}
+    rows = cut(docs.select(*[F.col(c).alias(k) for c, k in names.items()], *_keys(size, group, id_col, seed), F.col(id_col).alias("_id")))
     narrow = rows.select("_size", "_h1", "_h2")
     n = narrow.count()
     k1, k2 = splitters(narrow, max(n_shards * RANGES_PER_SHARD, n // ROWS_PER_RANGE), seed)
@@ -134,7 +164,15 @@ def shard(docs: DataFrame, n_shards: int = 8, size: Column | None = None, group:
     deal = docs.sparkSession.createDataFrame(per.astype({"range": "int32", "shard": "int32", "start": "int64"})[["range", "shard", "start"]], "_range int, _shard int, _start long")
     order = Window.partitionBy("_range").orderBy("_h1", "_h2", F.asc_nulls_last("_id"))
     rows = rows.withColumn("_row", F.row_number().over(order)).join(F.broadcast(deal), "_range")
-    return rows.select(*[F.col(k).alias(c) for c, k in names.items()], "_size", "_shard", (F.col("_start") + F.col("_row") - 1).alias("_slot"))
+    added = F.col("_size"), F.col("_shard"), F.col("_start") + F.col("_row") - 1
+    return rows.select(*[F.col(k).alias(c) for c, k in names.items()], *[v.alias(prefix + c) for c, v in zip(NEW, added, strict=True)])
+
+
+def sharded(docs: DataFrame, n_shards: int = 8, **rules) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``; all other columns are kept, whatever their names."""
+    prefix = free_prefix(docs, *NEW)
+    out = shard(docs.drop("shard", "slot"), n_shards, prefix=prefix, **rules)
+    return out.withColumnsRenamed({prefix + "shard": "shard", prefix + "slot": "slot"}).drop(prefix + "size")
 
 
 def op9_shard(spark, sf_dir: str) -> DataFrame:
