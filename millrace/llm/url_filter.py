@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_prefix, table
 
 
 @dataclass(frozen=True)
@@ -61,8 +61,16 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: The method's own rules, for URLs that no rule above fits.
-OWN = tuple(Rule("block", pattern=rf"^[^/]*(?:^|[.-]){w}(?:[.-]|$|/)", literal=w) for w in ("spam", "adult", "casino", "porn", "xxx", "malware", "phishing"))
+#: Words that in a host's label mark a kind of site that is not wanted, and in a path a kind of page.
+HOST_WORDS = ("spam", "adult", "casino", "porn", "xxx", "malware", "phishing", "adserver", "doubleclick", "betting", "poker", "warez", "torrent", "escort", "viagra")
+PATH_WORDS = ("adserver", "banners", "popunder", "clicktrack", "affiliate", "casino", "porn", "xxx", "warez")
+#: The method's own rules, for URLs that no rule above fits.  Rules of structure have no literal word beyond what
+#: every such URL must have: a host that is a bare IPv4 address.
+OWN = (
+    *(Rule("block", pattern=rf"^[^/]*(?:^|[.-]){w}(?:[.-]|$|/)", literal=w) for w in HOST_WORDS),
+    *(Rule("block", pattern=rf"/{w}(?:/|$)", literal=w) for w in PATH_WORDS),
+    Rule("block", pattern=r"^[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}(?::[0-9]+)?(?:/|$)"),
+)
 
 
 def parts(url: str | Column) -> tuple[Column, Column]:
@@ -93,7 +101,8 @@ def judge(pages: DataFrame, rules: Iterable[Rule], own: Iterable[Rule] = (), url
     else ``default``.  Rules up to MAX_INLINE_RULES are a map in the plan, so every row is judged where it is
     read; more rules are a table joined by token, hot tokens spread by AQE.  A rule without a whole literal
     token is a candidate of every URL.  Null and malformed URLs have empty parts and fit no host rule.
-    Rows, repeated ones too, and all columns are kept.
+    Rows, repeated ones too, and all columns are kept; only columns named like the four new ones are replaced.
+    An empty table gives no rows.
     """
     host, path = parts(url_col)
     rules, own = list(rules), list(own)
@@ -107,24 +116,28 @@ def judge(pages: DataFrame, rules: Iterable[Rule], own: Iterable[Rule] = (), url
         row = (int(first), r.rank, -at, r.name, r.verdict, r.regex)
         table_rows.append((token, *row))
         by.setdefault(token, []).append(F.struct(*[F.lit(v).alias(k) for k, v in zip(("given", "rank", "at", "name", "verdict", "regex"), row, strict=True)]))
-    target = F.concat(host, path)
+    outputs = ("_host", "_path", "_rule", "_verdict")
+    rows = pages.drop(*[c for c in pages.columns if c.lower() in outputs and c != url_col])
     if not both:
-        return pages.withColumns({"_host": host, "_path": path, "_rule": F.lit(None).cast("string"), "_verdict": F.lit(default)})
+        return rows.withColumns({"_host": host, "_path": path, "_rule": F.lit(None).cast("string"), "_verdict": F.lit(default)})
+    p = free_prefix(pages, "tokens", "fit", "best", "target", "url")
+    wanted, fit, best, target = (p + c for c in ("tokens", "fit", "best", "target"))
     if len(both) <= MAX_INLINE_RULES:
-        index = F.create_map(*[x for t, rows in by.items() for x in (F.lit(t), F.array(*rows))])
-        out = pages.withColumns({"_host": host, "_path": path, "_tokens": F.array_union(tokens, F.array(F.lit("")))})
-        fetched = F.flatten(F.filter(F.transform("_tokens", lambda t: F.element_at(index, t)), lambda x: x.isNotNull()))
-        out = out.withColumn("_fit", F.filter(fetched, lambda r: F.regexp(F.concat("_host", "_path"), r["regex"])))
-        out = out.withColumn("_best", F.array_max(F.transform("_fit", lambda r: F.struct(r["given"].alias("given"), r["rank"].alias("rank"), r["at"].alias("at"), r["name"].alias("name"), r["verdict"].alias("verdict")))))
+        index = F.create_map(*[x for t, of in by.items() for x in (F.lit(t), F.array(*of))])
+        out = rows.withColumns({target: F.concat(host, path), wanted: F.array_union(tokens, F.array(F.lit("")))})
+        fetched = F.flatten(F.filter(F.transform(wanted, lambda t: F.element_at(index, t)), lambda x: x.isNotNull()))
+        out = out.withColumn(fit, F.filter(fetched, lambda r: F.regexp(F.col(target), r["regex"])))
+        out = out.withColumn(best, F.array_max(F.transform(fit, lambda r: F.struct(r["given"].alias("given"), r["rank"].alias("rank"), r["at"].alias("at"), r["name"].alias("name"), r["verdict"].alias("verdict")))))
     else:
         spark = pages.sparkSession
         index = spark.createDataFrame(table_rows, "_token string, given int, rank int, at int, name string, verdict string, regex string")
         urls = pages.select(F.col(url_col).alias("_url")).distinct().withColumn("_both", F.concat(*parts("_url")))
         urls = urls.withColumn("_token", F.explode(F.array_union(F.array_distinct(F.split(F.lower(F.concat(parts("_url")[0], F.lit("/"), parts("_url")[1])), "[^a-z0-9]+")), F.array(F.lit("")))))
-        best = urls.join(index, "_token").where("regexp(_both, regex)").groupBy("_url").agg(F.max(F.struct("given", "rank", "at", "name", "verdict")).alias("_best"))
-        out = pages.join(best, F.col(url_col) == F.col("_url"), "left").withColumns({"_host": host, "_path": path})
-    rule = F.when(F.col("_best.given") == 1, F.col("_best.name"))
-    return out.withColumns({"_rule": rule, "_verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_tokens", "_fit", "_best", "_url")
+        found = urls.join(index, "_token").where("regexp(_both, regex)").groupBy(F.col("_url").alias(p + "url")).agg(F.max(F.struct("given", "rank", "at", "name", "verdict")).alias(best))
+        out = rows.join(found, F.col(url_col) == F.col(p + "url"), "left")
+    rule = F.when(F.col(best)["given"] == 1, F.col(best)["name"])
+    out = out.withColumns({"_host": host, "_path": path, "_rule": rule, "_verdict": F.coalesce(F.col(best)["verdict"], F.lit(default))})
+    return out.drop(*[p + c for c in ("tokens", "fit", "best", "target", "url")])
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
