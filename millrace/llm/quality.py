@@ -35,7 +35,7 @@ class _Words(dict):
         if len(self) > 500_000:
             self.clear()
         shape = "".join(_CLASS.get(c) or ("a" if c.islower() else "A" if c.isupper() else c) for c in w)
-        out = self[w] = (_bucket("w" + "".join(filter(str.isalpha, w)).lower()), _bucket("s" + _RUN.sub(r"\1", shape)[:12]))
+        out = self[w] = (_bucket("w" + "".join(filter(str.isalpha, w)).lower()), _bucket("s" + _RUN.sub(r"\1", shape)))
         return out
 
 
