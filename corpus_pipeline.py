@@ -10,35 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import cut, table
 from millrace.llm.decontam import decontaminate
-from millrace.llm.mixing import mix, repeat
-from millrace.llm.sharding import shard
+from millrace.llm.mixing import mixed_rows
+from millrace.llm.sharding import sharded
 from millrace.llm.simhash import NEAR, drop_near_duplicates
 from millrace.llm.toxicity import drop_toxic, fit
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
+    """Documents that the toxicity classifier does not reject.  Rows without an id or text are scored like any
+    other (no text: the intercept alone); rows that repeat an id stay or go by their own texts."""
     return drop_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest id; null and blank texts are one group,
+    and a row that repeats another's id and text goes."""
     return drop_near_duplicates(docs, **NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts have none, nor has any text if the
+    benchmark is empty."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources."""
-    return repeat(mix(docs))
+    """Documents repeated to the target weights of their sources, a null source being one; each stays in at most
+    twice, and a source of no words gives nothing that counts."""
+    return mixed_rows(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot."""
-    return shard(docs, 8).withColumnsRenamed({"_shard": "shard", "_slot": "slot"}).drop("_size")
+    """Documents with their shard and slot, one row for each row of ``docs``.  Columns named shard or slot are
+    replaced."""
+    return sharded(docs, 8)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
