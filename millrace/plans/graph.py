@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Links of a node beyond which its rows are joined by broadcast and stay spread over tasks; there are MAX_HUBS of such
+#: nodes at most, as the limit rises with the number of links.
+HUB, MAX_HUBS = 1_000, 100_000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; set a private one only where none is set."""
+    """Use the folder named by ``spark.checkpoint.dir``.  Where none is set a private one serves local sessions; on a
+    cluster its files would be lost with a machine, so there one has to be named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,31 +30,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that :func:`cut` returned and nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _with_low(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, v) with ``m`` of ``low`` (u, m, n): by broadcast for the hubs, so that their rows need not meet in a
+    task, by shuffle for all others."""
+    hubs = low.where(F.col("n") > max(HUB, 2 * n // MAX_HUBS)).select("u", "m")
+    if not hubs.take(1):
+        return rows.join(low.select("u", "m"), "u")
+    hubs = F.broadcast(cut(hubs))
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(low.select("u", "m"), "u"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Component label (smallest node) of every node that has an edge.
 
     ``edges`` has two columns of one orderable type, read as undirected links.  Alternates the
     large-star and small-star rewrites: each round is a partial aggregate per node and an equi-join
-    back, so a hub's links are pre-aggregated before the shuffle and its rows may be split by AQE.
-    Every round is written to the checkpoint folder; nothing is gathered on the driver but two
-    numbers that tell whether a round changed the links.
+    back, in which the rows of hubs stay where they are.
+    Every round is written to the checkpoint folder, and the one before it is deleted; nothing is gathered on the
+    driver but two numbers that tell whether a round changed the links.
 
     Nulls and self-links are ignored.  Returns ``node, component``.
     """
     a, b = edges.columns[:2]
     e = cut(edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = None
+    seen, n = None, e.count()
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("m < v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = cut(_with_low(both.where("v > u"), low, n).where("m < v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        near = _with_low(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), n)
         small = near.select("u", F.col("m").alias("v")).unionByName(near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = cut(small)
+        e, before = cut(small), e
+        discard(large)
+        discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     child = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
