@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,10 +12,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shipped, table
+from .common import Shipped, free_prefix, table
 
 #: Labelled rows that are fitted on at most (in expectation); the sample is a seeded hash of the id.
 MAX_TRAIN = 12_000
+#: Feature numbers that the fitting task holds at most, 4 bytes each, and what a document counts beside its own.
+MAX_FEATURES, ROW_COST = 24_000_000, 64
 BITS = 18
 #: Letters of a word's stem, so that forms of one word share a feature.
 STEM = 5
@@ -107,31 +110,58 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    chosen = known.select(F.col(id_col).alias("_lid"), "_label")
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid"))
-    return rows.select(F.col(id_col).alias("id"), "text", F.col("_label").cast("double").alias("label"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train: int = MAX_TRAIN, id_col: str = "doc_id", bits: int = BITS) -> Ftrl:
-    """Fit on a bounded sample of labelled documents.  Features are made on the executors; of each document its
-    distinct feature numbers reach the driver.  Rows that repeat a text count once for each label."""
+    chosen = known.select(F.col(id_col).alias("id"), F.col("_label").cast("double").alias("label"))
+    return docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "text", "label")
+
+
+def _train(bits: int, most: int):
+    """For mapInPandas over one partition in a seeded order: the fitted weights, as one row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[np.ndarray] = []
+        labels: list[float] = []
+        held = 0
+        for pdf in batches:
+            for x, y in zip(pdf["x"], pdf["label"], strict=True):
+                if held <= most:
+                    rows.append(np.frombuffer(x, np.int32).copy())
+                    labels.append(y)
+                    held += len(rows[-1]) + ROW_COST
+        if rows:
+            m = Ftrl.fit(rows, np.array(labels), bits)
+            yield pd.DataFrame({"at": [m.at.tobytes()], "weight": [m.weight.tobytes()], "bias": [m.bias]})
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train: int = MAX_TRAIN, id_col: str = "doc_id", bits: int = BITS, max_features: int = MAX_FEATURES) -> Ftrl:
+    """Fit on a bounded sample of labelled documents, in one task.
+
+    Features are made where the documents are read.  FTRL is sequential, so the sampled documents' feature numbers
+    meet in one partition, in a seeded hash order; its task holds ``max_features`` of them (4 bytes each) and
+    ROW_COST for a document at most, so what it takes is a random sample whatever the lengths of texts.  Only the
+    weights that are not zero reach the driver.  Rows that repeat a text count once for each label.  Without
+    labelled rows every score is that of the intercept -3.
+    """
 
     @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
         words = _Words()
-        return texts.map(lambda t: features(t, words, bits).tobytes())
+        return texts.map(lambda t: features(t, words, bits).tobytes(), na_action=None)
 
     rows = sample_labelled(docs, labels, label_col, max_train, id_col)
-    got = rows.groupBy(F.xxhash64("text").alias("_t"), "label").agg(F.min("id").alias("id"), F.min("text").alias("text"))
-    pdf = got.select("id", "label", hashed("text").alias("x")).toPandas().sort_values(["id", "label"])
-    if pdf.empty:
+    once = rows.groupBy(F.xxhash64("text").alias("_t"), "label").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    drawn = once.select(F.xxhash64(F.lit(13), "id").alias("u"), "id", "label", hashed("text").alias("x"))
+    one = drawn.repartition(1).sortWithinPartitions("u", "id", "label").select("label", "x")
+    got = one.mapInPandas(_train(bits, max_features), "at binary, weight binary, bias double").first()
+    if got is None:
         return Ftrl(np.zeros(0, np.int32), np.zeros(0, np.float32), -3.0, bits)
-    return Ftrl.fit([np.frombuffer(x, np.int32) for x in pdf["x"]], pdf["label"].to_numpy(float), bits)
+    return Ftrl(np.frombuffer(got["at"], np.int32), np.frombuffer(got["weight"], np.float32), got["bias"], bits)
 
 
 def with_score(docs: DataFrame, model: Ftrl, text_col: str = "text", out_col: str = "_score") -> DataFrame:
     """Add the chance that a text is toxic.  Null and empty texts have no features: their score is that of the
-    intercept.  All rows and columns are kept."""
+    intercept.  All rows and columns are kept, but for one named ``out_col``, which is replaced."""
     held = Shipped(docs.sparkSession, model)
 
     @F.pandas_udf("double")
@@ -142,7 +172,9 @@ def with_score(docs: DataFrame, model: Ftrl, text_col: str = "text", out_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Ftrl, threshold: float = THRESHOLD) -> DataFrame:
-    return with_score(docs, model).where(F.col("_score") < threshold).drop("_score")
+    """``docs`` without the rows whose score reaches ``threshold``; every column is kept, whatever its name."""
+    score = free_prefix(docs, "score") + "score"
+    return with_score(docs, model, out_col=score).where(F.col(score) < threshold).drop(score)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
