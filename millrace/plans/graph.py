@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,41 @@ from pyspark.sql import functions as F
 #: Links of a node beyond which its rows are joined by broadcast and stay spread over tasks; there are MAX_HUBS of such
 #: nodes at most, as the limit rises with the number of links.
 HUB, MAX_HUBS = 1_000, 100_000
+#: Links that one task may merge: 80 MB at most with 32-letter names of nodes.  More are merged in rounds.
+ONE_TASK = 500_000
+
+
+class Forest:
+    """Merges numbered rows along links; ``root`` of a row is the smallest row that it is linked to so far."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def merge(self, i: np.ndarray, j: np.ndarray) -> None:
+        root = self.root
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = root[root]
+                if np.array_equal(up, root):
+                    break
+                root[:] = up
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes and components of all links of one partition."""
+    held = [pdf for pdf in batches if len(pdf)]
+    if held:
+        pdf = pd.concat(held, ignore_index=True)
+        code, nodes = pd.factorize(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), sort=True)
+        forest = Forest(len(nodes))
+        forest.merge(code[: len(pdf)], code[len(pdf) :])
+        yield pd.DataFrame({"node": nodes, "component": nodes[forest.root]})
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -49,10 +87,11 @@ def _with_low(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
     return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(low.select("u", "m"), "u"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Component label (smallest node) of every node that has an edge.
 
-    ``edges`` has two columns of one orderable type, read as undirected links.  Alternates the
+    ``edges`` has two columns of one orderable type, read as undirected links.  Up to ``one_task`` links are merged in
+    one task, which spares the rounds; the labels are the same.  More are merged by alternating the
     large-star and small-star rewrites: each round is a partial aggregate per node and an equi-join
     back, in which the rows of hubs stay where they are.
     Every round is written to the checkpoint folder, and the one before it is deleted; nothing is gathered on the
@@ -63,6 +102,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a, b = edges.columns[:2]
     e = cut(edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seen, n = None, e.count()
+    if n <= one_task:
+        kind = e.schema["u"].dataType.simpleString()
+        return cut(e.repartition(1).mapInPandas(_merged, f"node {kind}, component {kind}"))
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
