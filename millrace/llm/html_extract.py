@@ -22,14 +22,20 @@ _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _MAIN = "data-main"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+#: What stands in these is no markup: they end at their own end tag alone.
+RAW = frozenset("script style textarea title iframe xmp noembed".split())
+#: Drawings, formulas and choices: blocks of the page can't stand in them, so they end where one begins.
+ISLANDS = frozenset("svg math select".split())
 #: Never part of a page's text.
-SILENT = RAW | frozenset(("head", "button", "canvas", "audio", "video", "datalist", "map"))
+SILENT = RAW | ISLANDS | frozenset("noscript template object head button canvas audio video datalist map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split())
 #: Blocks without a break of their own: their text runs on in the surrounding block after a space.
 CELLS = frozenset(("td", "th", "br", "img", "input", "wbr"))
 _CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",))}
+_END_OF = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Within these a slash closes an element.
+_DRAWN = frozenset("svg math g defs symbol clippath lineargradient mask pattern marker".split())
 _HEAD_ONLY = frozenset("head meta title link base style script noscript".split())
 
 
@@ -90,6 +96,12 @@ def parse(page: str) -> list[Node]:
         if tag not in _HEAD_ONLY and nodes[stack[-1]].tag == "head":
             close(len(stack) - 1)
         if tag in _CLOSES_P:
+            for i in range(len(stack) - 1, 0, -1):
+                if nodes[stack[i]].tag in ISLANDS:
+                    close(i)
+                    break
+                if nodes[stack[i]].tag in _CLOSES_P:
+                    break
             for i in range(len(stack) - 1, 0, -1):
                 open_tag = nodes[stack[i]].tag
                 if open_tag == "p":
@@ -113,10 +125,15 @@ def parse(page: str) -> list[Node]:
         k = len(nodes)
         nodes.append(Node(tag, stack[-1], len(stack), _tokens(attrs) if attrs else frozenset()))
         nodes[stack[-1]].parts.append(k)
+        closed = bool(attrs) and attrs.rstrip().endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not attrs.rstrip().endswith("/") or tag not in VOID and tag not in ("svg", "path"):
+            # one without an end holds nothing, but for a script or a style, which is code up to the page's end
+            end = _END_OF[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style") and not closed:
+                at = len(page)
+        elif tag not in VOID and not (closed and (tag in ISLANDS or nodes[stack[-1]].tag in _DRAWN or tag in SILENT)):
             stack.append(k)
     return nodes
 
@@ -246,7 +263,7 @@ class Boosted:
         return out
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, trees: int = 70, depth: int = 5, rate: float = 0.2, bins: int = 12, l2: float = 2.0, columns: float = 0.25, rows: float = 0.5, seed: int = 4) -> Boosted:
+    def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 6, rate: float = 0.2, bins: int = 12, l2: float = 2.0, columns: float = 0.15, rows: float = 0.5, seed: int = 4) -> Boosted:
         """Logistic loss, second-order gains over quantile bins, level by level; each tree sees a share of the features and rows."""
         n, every = x.shape
         rng, d = np.random.default_rng(seed), max(1, int(columns * x.shape[1]))

@@ -17,6 +17,8 @@ _COMMENT = "comments comment comment-list commentlist discussion respond replies
 _SHARE = "share social social-share sharing follow share-buttons tags tag-list post-meta-links".split()
 _FORM = "form search search-form login signup subscribe newsletter contact-form poll survey".split()
 _MAIN = "article post content entry entry-content post-content article-body story story-body main main-content body-text text article-text post-body hentry page-content".split()
+_PART = "post item block section entry paragraph para row card content-block text-block chapter lead intro body-section wp-block question answer step update".split()
+_ICONS = ("<svg class='icon'/>", "<svg class='icon'><path d='M0 0'/></svg>", "<i class='fa fa-x'></i>", "<img src='x.png' alt='x'>", "<svg viewBox='0 0 1 1'><title>t</title><use href='#a'/></svg>")
 _WRAP = "wrapper container page site wrap layout row grid inner outer col col-8 columns content-area shell app root".split()
 
 
@@ -30,6 +32,8 @@ class _Page:
         out = ["".join(r.choices(self.syllables, k=r.randint(1, 3))) for _ in range(r.randint(lo, hi))]
         if r.random() < 0.1:
             out = [w + r.choice(("!!", "%%%", "***", "&amp;", " |")) for w in out]
+        if r.random() < 0.2:
+            out = [str(r.randint(0, 3000)) if r.random() < 0.12 else w for w in out]
         for i in range(r.randint(5, 14), len(out), r.randint(6, 16)):
             out[i] += r.choice((".", ",", ".", ";"))
         s = " ".join(out)
@@ -126,11 +130,23 @@ class _Page:
             parts.append(f"<header>{t}</header>" if r.random() < 0.12 else t)
         if r.random() < 0.15:
             parts.append(f"<p{m}{self.attr(['byline', 'date', 'meta', 'author'], 1)}>{self.words(2, 6)}</p>")
-        n = r.choices((1, 2, 3, 5, 8, 14), (4, 3, 3, 3, 2, 1))[0]
-        lo, hi = r.choice(((1, 4), (3, 15), (10, 60), (30, 150)))
-        block = r.choice(("p", "p", "p", "p", "p", "div", "#text"))
+        n = r.choices((1, 2, 3, 5, 8, 14, 40), (4, 3, 3, 3, 2, 1, 0.5))[0]
+        lo, hi = r.choice(((1, 4), (3, 15), (10, 60), (30, 150))) if n < 40 else (4, 25)
+        block = r.choice(("p", "p", "p", "p", "p", "div", "#text", "wrapped", "wrapped", "mixed"))
+        shell, name = r.choice(("div", "div", "section", "li")), self.attr(_PART, 0.8)
         for i in range(n):
             text = self.words(lo, hi)
+            if r.random() < 0.06:
+                text = f"{self.words(1, 8, False)} {r.choice(_ICONS)} {text}"
+            if block == "wrapped":
+                head = f"<h3{m}>{self.words(1, 5, False)}</h3>" if r.random() < 0.2 else ""
+                body = text if r.random() < 0.15 else "".join(f"<p{m}>{x}</p>" for x in [text, *(self.words(lo, hi) for _ in range(r.choices((0, 1, 2), (6, 2, 1))[0]))])
+                parts.append(f"<{shell}{m}{name}>{head}{body}</{shell}>")
+                continue
+            if block == "mixed":
+                kind = r.choice(("p", "p", "div", "div", "blockquote", "pre", "address", "dl"))
+                parts.append(f"<dl><dt{m}>{self.words(1, 3, False)}</dt><dd{m}>{text}</dd></dl>" if kind == "dl" else f"<{kind}{m}{self.attr(_PART, 0.2)}>{text}</{kind}>")
+                continue
             if r.random() < 0.15:
                 text = f"{text} <a href='/x'>{self.words(1, 3, False)}</a> {self.words(1, 8)}"
             if r.random() < 0.1:
@@ -172,6 +188,10 @@ class _Page:
         r = self.r
         some = lambda f, p: f() if r.random() < p else ""
         main = self.article()
+        if r.random() < 0.06:  # nothing but the text
+            return f"<html><head><title>{self.words(2, 8)}</title></head><body>{main}</body></html>"
+        if r.random() < 0.08 and "<td" not in main[:200]:  # no element of its own around the text
+            main = main[main.index(">") + 1 : main.rindex("<")]
         after = "".join(some(f, p) for f, p in ((self.share, 0.15), (self.comments, 0.3), (self.ad, 0.2), (self.form, 0.1), (self.sidebar, 0.1)))
         around = [some(self.sidebar, 0.25), main + after, some(self.sidebar, 0.3)]
         middle = "".join(around)
@@ -187,5 +207,5 @@ class _Page:
         return f"<!DOCTYPE html><html>{head}<body>{body}" + ("</body></html>" if r.random() < 0.9 else "")
 
 
-def labelled_pages(n: int = 1_000, seed: int = 0) -> list[str]:
+def labelled_pages(n: int = 2_400, seed: int = 0) -> list[str]:
     return [_Page(seed * 1_000_003 + i).page() for i in range(n)]

@@ -16,6 +16,8 @@ from millrace.llm import decontam, embeddings, html_extract, html_training, lice
 from millrace.llm.common import Forest, connected_components
 from millrace.llm.queries import ORACLE_SQL, QUERIES
 
+from .pages import PAGES
+
 D = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -234,9 +236,12 @@ def test_components(spark):
     rng = random.Random(7)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)] + [(500, i) for i in range(501, 560)]
     want = components_by_search(600, pairs)
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert all(got.get(i, i) == want[i] for i in range(600))
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for most in (0, 10_000):
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), one_task=most).collect()}
+        assert all(got.get(i, i) == want[i] for i in range(600))
+        assert connected_components(spark.createDataFrame([], "a long, b long"), one_task=most).count() == 0
+    names = connected_components(spark.createDataFrame([("b", "a"), ("b", "c"), ("x", "x"), (None, "a")], "a string, b string"))
+    assert {tuple(r) for r in names.collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
     f = Forest(5)
     f.merge(np.array([4, 3]), np.array([3, 1]))
     assert f.root.tolist() == [0, 1, 2, 1, 1]
@@ -251,6 +256,29 @@ def test_parse_recovers_broken_pages():
     assert html_extract.text_of(nodes, [n.tag not in html_extract.SILENT for n in nodes]) == "a\nb\nxy\nz\nq r\n1 < 2 & 3"
 
 
+def test_raw_elements_end_where_they_should():
+    """Nothing after an icon, a formula, a choice, a frame or a plugin is lost, closed or not."""
+    line = lambda page: html_extract.text_of(nodes := html_extract.parse(page), [n.tag not in html_extract.SILENT for n in nodes]).split("\n")
+    for open_tag in ("<svg class='i'/>", "<svg><path d='M0'/></svg>", "<svg><path/>", "<math><mi>x</mi>", "<select><option>a<option>b", "<object data='x'>", "<iframe src='x'/>", "<iframe src='x'>", "<noscript>", "<template>", "<textarea>", "<script src='x'/>"):
+        assert line(f"<div><p>one {open_tag}</p><p>two</p></div><p>three</p>") == ["one", "two", "three"], open_tag
+    assert line("<p>a</p><script>if (x < 1) '<p>b</p>'") == ["a"]
+
+
+def test_hand_made_pages(spark):
+    rows = spark.createDataFrame([(i, name, page) for i, (name, (page, _)) in enumerate(PAGES.items())], "page_id long, url string, html string").withColumns({"_size": F.lit(1), "text": F.lit("kept")})
+    out = html_extract.with_text(rows)
+    assert same_rows(rows, out)
+    got = {r["url"]: r["_text"] for r in out.collect()}
+    share = []
+    for name, (_, text) in PAGES.items():
+        a, b = collections.Counter(got[name].split()), collections.Counter(text.split())
+        share.append(2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values())) if a or b else 1.0)
+    assert np.mean(share) >= 0.95, dict(zip(PAGES, share, strict=True))
+    for n in (5, 50, 250):
+        page = '<html><body><nav><a href="/">Home</a></nav><div class="content">' + "".join(f'<div class="post"><p>This is sentence number {i} of a long story.</p></div>' for i in range(n)) + "</div><footer>&copy; 2020</footer></body></html>"
+        assert html_extract.extract([page], html_extract.trained()) == ["\n".join(f"This is sentence number {i} of a long story." for i in range(n))]
+
+
 def test_decode_never_contradicts():
     rng = np.random.default_rng(0)
     for page in html_training.labelled_pages(20, seed=3):
@@ -296,7 +324,7 @@ def test_extraction_accuracy_and_odd_pages(spark):
         a, b = html_extract.text_of(nodes, kept).split(), html_extract.text_of(nodes, gold).split()
         both = sum((collections.Counter(a) & collections.Counter(b)).values())
         good.append(2 * both / max(1, len(a) + len(b)) if a or b else 1.0)
-    assert np.mean(good) > 0.9
+    assert np.mean(good) > 0.94
     out = {r["page_id"]: r for r in QUERIES["op3_html_extract"](spark, D).collect()}
     assert all(r["n_chars"] == len(r["text"]) for r in out.values())
     want = 0
@@ -304,7 +332,7 @@ def test_extraction_accuracy_and_odd_pages(spark):
         art = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
         text = "\n".join(x for x in (" ".join(html_extract.html.unescape(re.sub(r"<[^>]*>", "", z)).split()) for z in re.split(r"</?(?:h1|p)>", art)) if x)
         want += text == out[r["page_id"]]["text"]
-    assert want >= 0.95 * len(out)
+    assert want == len(out)
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "<" * 1000), (4, "<article><p>" + "word " * 50_000 + "</p></article>")], "page_id long, html string")
     got = {r["page_id"]: r["_text"] for r in html_extract.with_text(rows).collect()}
     assert got[1] == got[2] == "" and len(got[4].split()) == 50_000
