@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.graph import connected_components, cut
+from ..plans.graph import Forest, connected_components, cut
 
-__all__ = ["ALNUM", "WORD", "Forest", "Shipped", "connected_components", "cut", "free_prefix", "table", "word_count"]
+__all__ = ["ALNUM", "WORD", "Forest", "Shipped", "bounds", "by_groups", "connected_components", "cut", "free_prefix", "table", "word_count"]
 
 #: Words of the size, shingle and quality contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,23 +51,39 @@ class Shipped:
         return pickle.loads(self.held.value)
 
 
-class Forest:
-    """Merges numbered rows along links; ``root`` of a row is the smallest row that it is linked to so far."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def merge(self, i: np.ndarray, j: np.ndarray) -> None:
-        root = self.root
-        while True:
-            a, b = root[i], root[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = root[root]
-                if np.array_equal(up, root):
-                    break
-                root[:] = up
+def bounds(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First and end rows of runs of equal keys."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    lo = np.flatnonzero(new)
+    return lo, np.r_[lo[1:], n].astype(np.int64)
+
+
+def by_groups(links, keys: list[str], rows_at_a_time: int = 1 << 15):
+    """For mapInPandas over rows sorted by ``keys``: ``links`` of whole groups at a time, about so many rows and the
+    rest of the group that they end in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for pdf in batches:
+            for at in range(0, len(pdf), rows_at_a_time):
+                held.append(pdf.iloc[at : at + rows_at_a_time])
+                rows += len(held[-1])
+                if rows < rows_at_a_time:
+                    continue
+                end = held[-1].iloc[-1]
+                last = np.logical_and.reduce([held[-1][k].to_numpy() == end[k] for k in keys])
+                if last.all():  # the last group fills the whole piece: what came before may end here, or not
+                    continue
+                out = pd.concat([*held[:-1], held[-1][~last]], ignore_index=True)
+                held = [held[-1][last]]
+                rows = len(held[0])
+                yield links(out)
+        if held:
+            yield links(pd.concat(held, ignore_index=True))
+
+    return run

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import repeat
@@ -9,10 +10,10 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, connected_components, cut, table
+from .common import Forest, bounds, by_groups, connected_components, cut, free_prefix, table
 
 #: Fingerprints that share a block are joined in one task if they are at most so many; larger groups are divided.
 GROUP_LIMIT = 1_000
@@ -62,36 +63,24 @@ def simhash_column(width: int, seed: int = 42, words64: int = 1):
     return f
 
 
-def trie_links(group: np.ndarray, x: np.ndarray, walked: np.ndarray, errors: int, whole: np.ndarray | None = None, most: int = 64) -> np.ndarray:
-    """For each fingerprint of some groups, one that the links within its group lead to.
+def trie_links(x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], walked: np.ndarray, errors: int) -> np.ndarray:
+    """For each fingerprint one that the links found lead to.
 
-    ``x`` (unsigned, ascending within equal ``group``, which are contiguous) is an implicit binary trie: a node
-    is a range of rows whose upper bits agree, and its children part where the next bit turns to 1.  ``walked``:
-    upper bits in which all rows of a group agree.  Pairs of nodes go down together, with the bits in which
-    they differ so far, and go no further once these exceed ``errors``.  A pair of single rows is compared at
-    once.  Pairs found are merged right away, so a dense group never holds its square.  With ``whole``
-    (rows of several 64-bit numbers) a pair counts only if these differ in at most ``most`` bits.
+    ``x``: rows of one or more unsigned 64-bit numbers.  ``pairs``: ranges of rows ``(from, to, from, to)`` to be
+    held against each other, or a range against itself; rows ascend within a range, which makes it an implicit
+    binary trie: a node is a range of rows whose upper bits agree, and its children part where the next bit turns
+    to 1.  ``walked``: upper bits in which all rows of a pair of ranges agree.  Pairs of nodes go down together,
+    with the bits in which they differ so far, and go no further once these exceed ``errors``.  A pair of single
+    rows is compared at once.  Pairs found are merged right away, so a dense group never holds its square.
     """
-    n = len(x)
+    x = x.reshape(len(x), -1)
+    n, depth = len(x), 64 * x.shape[1]
     forest = Forest(n)
-    root, merge = forest.root, forest.merge
-    ones = np.zeros((65, n + 1), np.int32)
-    for d in range(64):
-        np.cumsum((x >> np.uint64(63 - d)) & np.uint64(1), out=ones[d, 1:])
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], n]
-    big = ends - starts > 1
-    lo, hi, d0 = starts[big], ends[big], walked[starts[big]]
-    stack = [(lo, hi, lo, hi, np.zeros(len(lo), np.int64), d0)]
-
-    def close(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if whole is None:
-            return i, j
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-        ok = np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1) <= most
-        return i[ok], j[ok]
-
+    merge = forest.merge
+    ones = np.zeros((depth, n + 1), np.int32)
+    for d in range(depth):
+        np.cumsum((x[:, d >> 6] >> np.uint64(63 - (d & 63))) & np.uint64(1), out=ones[d, 1:])
+    stack = [(*pairs, np.zeros(len(walked), np.int64), walked)]
     while stack:
         alo, ahi, blo, bhi, diff, d = stack.pop()
         if len(alo) > FRONTIER:
@@ -101,15 +90,14 @@ def trie_links(group: np.ndarray, x: np.ndarray, walked: np.ndarray, errors: int
         one = (ahi - alo == 1) & (bhi - blo == 1)
         if one.any():
             i, j = alo[one], blo[one]
-            near = (i != j) & (np.bitwise_count(x[i] ^ x[j]) <= errors)
-            merge(*close(i[near], j[near]))
+            near = (i != j) & (np.bitwise_count(x[i] ^ x[j]).sum(axis=1) <= errors)
+            merge(i[near], j[near])
             alo, ahi, blo, bhi, diff, d = (v[~one] for v in (alo, ahi, blo, bhi, diff, d))
-        live = d < 64
-        if not live.all():  # equal all the way down: rows that have the same bits here
+        live = d < depth
+        if not live.all():  # equal all the way down: every row of the one links to every row of the other
             for p, q, r, s in zip(alo[~live], ahi[~live], blo[~live], bhi[~live], strict=True):
-                for i in range(p, q):
-                    j = np.arange(max(r, i + 1) if p == r else r, s)
-                    merge(*close(np.full(len(j), i), j))
+                both = np.unique(np.r_[p:q, r:s])
+                merge(both, np.full(len(both), both[0]))
             alo, ahi, blo, bhi, diff, d = (v[live] for v in (alo, ahi, blo, bhi, diff, d))
         if not len(alo):
             continue
@@ -122,38 +110,43 @@ def trie_links(group: np.ndarray, x: np.ndarray, walked: np.ndarray, errors: int
             ok = use & (q > p) & (s > r) & (e <= errors)
             parts.append((p[ok], q[ok], r[ok], s[ok], e[ok], d[ok] + 1))
         stack.append(tuple(np.concatenate(v) for v in zip(*parts, strict=True)))
-    return root
+    return forest.root
+
 
+def _linked(node: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    own = root != np.arange(len(root))
+    return pd.DataFrame({"a": node[own], "b": node[root[own]]})
 
-def _join_groups(errors: int, bits: int, n_words: int, most: int):
-    """For mapInPandas over rows sorted by (path, g, x): links of each group, as a forest."""
+
+def _block_links(errors: int):
+    """Links of rows that agree in ``bits`` upper bits of ``x``, their groups being equal in path and g."""
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        gid = pdf.groupby(["path", "g"], sort=False).ngroup().to_numpy()
-        x = pdf["x"].to_numpy(np.int64).view(np.uint64)
-        whole = np.ascontiguousarray(pdf[[f"f{k}" for k in range(n_words)]].to_numpy(np.int64)).view(np.uint64) if n_words > 1 else None
-        root = trie_links(gid, x, 64 - bits + pdf["bits"].to_numpy(np.int64), errors, whole, most)
-        node = pdf["node"].to_numpy()
-        own = root != np.arange(len(root))
-        return pd.DataFrame({"a": node[own], "b": node[root[own]]})
+        pdf = pdf.sort_values(["path", "g", "x"])
+        lo, hi = bounds([pdf["path"].to_numpy(), pdf["g"].to_numpy()])
+        x, walked = pdf["x"].to_numpy(np.int64).view(np.uint64), pdf["bits"].to_numpy(np.int64)
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+        return _linked(pdf["node"].to_numpy(), trie_links(x, (lo, hi, lo, hi), walked[lo], errors))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        rows = 0
-        for pdf in batches:
-            held.append(pdf)
-            rows += len(pdf)
-            if rows < 1 << 15:
-                continue
-            pdf = pd.concat(held, ignore_index=True)
-            last = (pdf["path"] == pdf["path"].iloc[-1]) & (pdf["g"] == pdf["g"].iloc[-1])
-            if not last.all():
-                yield links(pdf[~last].reset_index(drop=True))
-            held, rows = [pdf[last]], 0
-        if held:
-            yield links(pd.concat(held, ignore_index=True))
+    return links
 
-    return run
+
+def _cell_links(n_words: int, errors: int):
+    """Links of rows that share a cell: within a block (i = j), or between the blocks i and j."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = [pdf[f"f{k}"].to_numpy(np.int64).view(np.uint64) for k in range(n_words)]
+        keys = [pdf[c].to_numpy() for c in ("cell", "i", "j", "blk")]
+        order = np.lexsort([*words[::-1], *keys[::-1]])
+        keys, x = [k[order] for k in keys], np.stack([w[order] for w in words], axis=1)
+        lo, hi = bounds(keys)
+        self = keys[1][lo] == keys[2][lo]
+        cross = np.flatnonzero(~self[:-1] & ~self[1:] & (keys[3][lo[:-1]] == keys[1][lo[:-1]]) & (keys[0][lo[:-1]] == keys[0][lo[1:]]) & (keys[1][lo[:-1]] == keys[1][lo[1:]]) & (keys[2][lo[:-1]] == keys[2][lo[1:]]))
+        own = np.flatnonzero(self & (hi - lo > 1))
+        pairs = tuple(np.r_[u[own], v] for u, v in zip((lo, hi, lo, hi), (lo[cross], hi[cross], lo[cross + 1], hi[cross + 1]), strict=True))
+        return _linked(pdf["node"].to_numpy()[order], trie_links(x, pairs, np.zeros(len(pairs[0]), np.int64), errors))
+
+    return links
 
 
 def _turned(total: int, parts: int) -> F.Column:
@@ -170,26 +163,19 @@ def _turned(total: int, parts: int) -> F.Column:
     return F.explode(F.array(*map(F.expr, out)))
 
 
-def near_links(prints: DataFrame, errors: int = 2, most: int | None = None, table_bits: int = 64, group_limit: int = GROUP_LIMIT, max_depth: int = 8) -> DataFrame:
-    """Links ``a, b`` between rows of ``prints`` (``node`` and the fingerprint's numbers ``f0, f1, ...``).
+def near_links(prints: DataFrame, errors: int = 2, group_limit: int = GROUP_LIMIT, max_depth: int = 8) -> DataFrame:
+    """Links ``a, b`` between rows of ``prints`` (``node`` and a fingerprint ``f0``) that differ in ``errors`` or
+    fewer bits.
 
-    The fingerprint is cut into tables of ``table_bits`` (32 or 64) bits.  Two rows link if they differ in
-    ``errors`` or fewer bits of some table and in ``most`` or fewer in all (by default there is one table and no
-    other condition).  A table's bits are cut into errors + 1 blocks; two linked rows agree in one of them.  For
+    The bits are cut into errors + 1 blocks; two linked rows agree in one of them.  For
     each block there is a trie that starts with it, walked down the block along equal nodes only, which is what
     rows are dealt by, and below it along node pairs within the error budget.  Where more than ``group_limit``
     rows share a block, the rest of their bits is cut again in the same way, so a hot group becomes many; no
     link is lost.  Of each group a forest of its links is returned, from which the components follow; copies
     and dense groups don't give their square.
     """
-    parts, words = errors + 1, [c for c in prints.columns if c != "node"]
-    most = 64 * len(words) if most is None else most
-    kept = ["node", *(words if len(words) > 1 else [])]
-    tables = []
-    for k, c in enumerate(words):
-        half = [f"shiftrightunsigned({c}, 32)", f"{c} & 4294967295L"] if table_bits == 32 else [c]
-        tables += [f"named_struct('path', '{k}{i}', 'x', {e}, 'bits', 0)" for i, e in enumerate(half)]
-    rows = prints.select(*kept, F.explode(F.array(*map(F.expr, tables))).alias("t")).select(*kept, "t.*")
+    parts, table_bits, kept = errors + 1, 64, ["node"]
+    rows = prints.select("node", F.lit("").alias("path"), F.col("f0").alias("x"), F.lit(0).alias("bits"))
     done: list[DataFrame] = []
     for depth in range(max_depth):
         rows = rows.select(*kept, _turned(table_bits, parts).alias("t")).select(*kept, "t.*")
@@ -208,20 +194,131 @@ def near_links(prints: DataFrame, errors: int = 2, most: int | None = None, tabl
     for d in done[1:]:
         every = every.unionByName(d)
     dealt = every.repartition("path", "g").sortWithinPartitions("path", "g", "x")
-    return dealt.mapInPandas(_join_groups(errors, table_bits, len(words), most), "a long, b long")
+    return dealt.mapInPandas(by_groups(_block_links(errors), ["path", "g"]), "a long, b long")
+
+
+#: Of a wide fingerprint's cells: rows that share one on average, and the chance that a pair at the threshold meets in
+#: none of the tables.
+CELL_ROWS, MISSED = 128, 0.03
+#: Chance that a bit of a pair at the threshold differs, with a margin; see NEAR.
+BIT_DIFFERS = 0.16
+#: Rows of a cell that are held against each other at once; larger cells are cut into blocks.
+CELL_LIMIT = 1_024
+
+
+def cell_plan(n: int) -> tuple[int, int]:
+    """Bits that make a cell, and tables of such cells, for ``n`` fingerprints: cells hold CELL_ROWS on average
+    whatever n, and tables grow as n to the power -log2(1 - BIT_DIFFERS), that is 0.25."""
+    width = max(0, math.ceil(math.log2(max(1, n) / CELL_ROWS)))
+    chance = (1 - BIT_DIFFERS) ** width
+    return width, 1 if chance == 1 else math.ceil(math.log(MISSED) / math.log1p(-chance))
+
+
+def _cells(n_words: int, width: int, tables: int):
+    """For mapInPandas: each row once for each table, with its cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng(31)
+        places = [rng.permutation(64 * n_words)[:width] for _ in range(tables)]
+        for pdf in batches:
+            x = np.ascontiguousarray(pdf[[f"f{k}" for k in range(n_words)]].to_numpy(np.int64))
+            bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+            for t, at in enumerate(places):
+                cell = bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64)) if width else np.zeros(len(pdf), np.int64)
+                yield pdf.assign(cell=cell | np.int64(t << 44))
+
+    return run
+
+
+def wide_links(prints: DataFrame, errors: int, limit: int = CELL_LIMIT) -> DataFrame:
+    """Links ``a, b`` between rows of ``prints`` (``node`` and the fingerprint's numbers ``f0, f1, ...``) that differ
+    in ``errors`` or fewer bits of all, where these are so many that no block of bits must agree.
+
+    Each table deals rows to cells by some of their bits, drawn anew; see :func:`cell_plan`.  Within a cell all
+    pairs are sought by the trie join over all bits, so what is missed are pairs that share no cell: a share of
+    MISSED at the threshold, fewer above it.  A cell of more than ``limit`` rows is mostly one family of near copies.
+    Its rows are first held against one of them, those left against one of these, and so on, which joins
+    most of a family in linear work; then such a cell is cut into blocks, and only blocks that may have links
+    between different components are held against each other.  Nothing is dropped: of many rows without
+    components all pairs of blocks are searched.
+    """
+    words = [c for c in prints.columns if c != "node"]
+    n = prints.count()
+    width, tables = cell_plan(n)
+    schema = f"node long, {', '.join(f'{w} long' for w in words)}, cell long"
+    deal = _cells(len(words), width, tables)
+    rows = prints.mapInPandas(deal, schema)
+    cross = by_groups(_cell_links(len(words), errors), ["cell", "i", "j"])
+
+    def searched(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInPandas(cross, "a long, b long")
+
+    one = [F.lit(0).alias(c) for c in ("i", "j", "blk")]
+    thin = 16 if n > 64 * limit else 1  # a sample shows which cells are large; it decides nothing but how they are cut
+    seen = prints.where(F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(thin)) == 0).mapInPandas(deal, schema)
+    hot = cut(seen.groupBy("cell").count().where(F.col("count") * thin > limit).select("cell"))
+    n_hot = hot.count()
+    if not n_hot:
+        return searched(rows.select("node", *words, "cell", *one))
+    hot = F.broadcast(hot) if n_hot <= 100_000 else hot
+    alone = rows.join(hot, "cell", "left_anti").select("node", *words, "cell", *one)
+    inside, stars = _stars(cut(rows.join(hot, "cell", "left_semi").select("cell", "node", *words)), words, errors, limit)
+    sizes = inside.groupBy("cell", "kind").count()
+    large = sizes.where(F.col("count") > limit)
+    small = sizes.where(F.col("count") <= limit).groupBy("cell").agg(F.sum("count").alias("count"))
+    several = F.ceil(F.col("count") / limit).cast("int").alias("parts")
+    kinds = cut(large.select("cell", F.col("kind").alias("of"), several).unionByName(small.select("cell", F.lit(None).cast("long").alias("of"), several)))
+    every = kinds.select("cell", "of", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"))
+    every = cut(every.withColumn("blk", F.row_number().over(Window.partitionBy("cell").orderBy("of", "b"))))
+    every = F.broadcast(every) if every.count() <= 100_000 else every
+    own = inside.alias("r").join(kinds.where("of is not null").select("cell", "of").alias("k"), (F.col("r.cell") == F.col("k.cell")) & (F.col("r.kind") == F.col("k.of")), "left").select("r.cell", "node", *words, "of")
+    mine = own.alias("r").join(every.alias("e"), (F.col("r.cell") == F.col("e.cell")) & F.col("r.of").eqNullSafe(F.col("e.of")) & (F.pmod(F.xxhash64("r.node"), F.col("e.parts")) == F.col("e.b")))
+    mine = mine.select("r.cell", "node", *words, "r.of", "blk")
+    apart = F.col("r.of").isNull() | ~F.col("r.of").eqNullSafe(F.col("e.of"))
+    met = mine.alias("r").join(every.alias("e"), (F.col("r.cell") == F.col("e.cell")) & apart)
+    met = met.select("node", *words, "r.cell", F.least("r.blk", "e.blk").alias("i"), F.greatest("r.blk", "e.blk").alias("j"), "r.blk")
+    return searched(alone).unionByName(searched(met)).unionByName(stars)
+
+
+def _stars(inside: DataFrame, words: list[str], errors: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of large cells with ``kind``, a row of the cell that they link to or their own node, and these links.
+
+    A cell's rows are held against its smallest node, then those left against the smallest of them, until
+    ``limit`` are left or PIVOTS rounds are over.
+    """
+    left, done = inside, []
+    for _ in range(PIVOTS):
+        low = cut(left.groupBy("cell").agg(F.min(F.struct("node", *words)).alias("low"), F.count("*").alias("m")).where(F.col("m") > limit).select("cell", "low"))
+        n = low.count()
+        if not n:
+            break
+        tied = left.join(F.broadcast(low) if n <= 100_000 else low, "cell", "left")
+        differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("low")[w])) for w in words), F.lit(0))
+        tied = cut(tied.withColumn("kind", F.when(differ <= errors, F.col("low.node"))).select(*inside.columns, "kind"))
+        done.append(tied.where("kind is not null"))
+        left = tied.where("kind is null").drop("kind")
+    every = left.withColumn("kind", F.col("node"))
+    for d in done:
+        every = every.unionByName(d)
+    return every, every.where("node <> kind").select(F.col("node").alias("a"), F.col("kind").alias("b")).distinct()
+
+
+#: Rounds in which a large cell's rows are held against one of them.
+PIVOTS = 6
 
 
 #: Of the pipeline: 5-word shingles and similarity 0.8.  Shingle sets of Jaccard similarity J have cosine
 #: 2J / (1 + J), and a SimHash bit differs with chance acos(cosine) / pi: 0.15 at J = 0.8, 39 of 256 bits, with a
-#: deviation of 6.  Of eight tables of 32 bits, one differs in 3 or fewer with chance 0.92 (0.98 at J = 0.85).
-NEAR = {"width": 5, "words64": 4, "table_bits": 32, "errors": 3, "most": 44}
+#: deviation of 5.7.  A pair at 0.8 differs in 47 bits or fewer with chance 0.93 and meets in a cell with 0.97.
+NEAR = {"width": 5, "words64": 4, "errors": 47}
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, errors: int = 3, words64: int = 4, table_bits: int = 32, most: int | None = 44, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, errors: int = 47, words64: int = 4, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, _text`` (a hash of the text), ``fingerprint`` (array of signed
     numbers), ``component_id`` and ``first`` (struct of the component's first document: ``missing, id, text``).
 
-    Documents with the same fingerprint are one class; classes link as :func:`near_links` says, and components
+    Documents with the same fingerprint are one class; classes link if they differ in ``errors`` bits or fewer, see
+    :func:`near_links` (``words64`` = 1: every link is found) and :func:`wide_links`, and components
     are everything reachable.  ``component_id`` is the smallest id, null only where no member has one; the first
     document is the one with that id and, among repeated ids, the smallest text hash.  Null and blank texts have
     fingerprint 0.  An empty table gives no rows; other columns are not read.
@@ -230,14 +327,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, errors: int = 3, words64: i
     words = [f"f{k}" for k in range(words64)]
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(seed), text).alias("_text"), simhash_column(width, seed, words64)(text).alias("_fp"))
     own = cut(own.select("doc_id", "_text", *[F.col("_fp")[k].alias(c) for k, c in enumerate(words)]))
-    node = F.col("f0") if words64 == 1 else F.xxhash64(*words)
+    node = F.col("f0") if words64 == 1 else F.monotonically_increasing_id()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("_text").alias("text")))
     prints = cut(own.groupBy(*words).agg(first.alias("first")).withColumn("node", node))
-    comp = connected_components(near_links(prints.select("node", *words), errors, most, table_bits))
-    tied = prints.join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("c"))
+    comp = connected_components(near_links(prints.select("node", "f0"), errors) if words64 == 1 else wide_links(prints.select("node", *words), errors))
+    tied = prints.join(comp, "node", "left").select(*words, "first", F.coalesce("component", "node").alias("c"))
     best = tied.groupBy("c").agg(F.min("first").alias("first"))
-    named = tied.select("node", "c").join(best, "c").select("node", "first")
-    found = own.withColumn("node", node).join(named, "node")
+    named = tied.select(*words, "c").join(best, "c").select(*words, "first")
+    found = own.join(named, words)
     return found.select("doc_id", "_text", F.array(*words).alias("fingerprint"), F.col("first.id").alias("component_id"), "first")
 
 
@@ -245,15 +342,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each component, its first; of rows that repeat its id and text, one.
     Further parameters go to :func:`near_duplicates`."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, seed=seed, **near)
+    p = free_prefix(docs, "keep_id", "keep_text", "keyed")
     lead = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("_text") == F.col("first.text"))
-    keep = found.where(lead).select(F.col("doc_id").alias("_keep_id"), F.col("_text").alias("_keep_text")).distinct()
-    rows = docs.withColumn("_keyed", F.xxhash64(F.lit(seed), F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_keyed") == F.col("_keep_text"))
-    return rows.join(keep, same, "left_semi").dropDuplicates([id_col, "_keyed"]).drop("_keyed")
+    keep = found.where(lead).select(F.col("doc_id").alias(p + "keep_id"), F.col("_text").alias(p + "keep_text")).distinct()
+    rows = docs.withColumn(p + "keyed", F.xxhash64(F.lit(seed), F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(p + "keep_id")) & (F.col(p + "keyed") == F.col(p + "keep_text"))
+    return rows.join(keep, same, "left_semi").dropDuplicates([id_col, p + "keyed"]).drop(p + "keyed")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over 3-word shingles and its component at 2 or fewer differing bits."""
-    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, words64=1, table_bits=64, errors=2, most=None)
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, words64=1, errors=2)
     hexed = F.lower(F.lpad(F.hex(F.col("fingerprint")[0]), 16, "0"))
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
