@@ -523,9 +523,7 @@ def oner_score(df, features, y, n_bins=10) -> dict[str, float]:
     out = {}
     binned = EqualWidthDiscretizer(n_bins, features).fit_transform(df)
     for c in features:
-        m = _Table(binned, c, y)
-        per: dict = {}
-        for r in pair_counts(binned, c, y).collect():
-            per[r["true"]] = max(per.get(r["true"], 0), r["n"])
-        out[c] = _div(sum(per.values()), m.total)
+        per = pair_counts(binned, c, y).groupBy("true").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+        row = per.agg(F.sum("most"), F.sum("n")).first()
+        out[c] = _div(row[0] or 0.0, row[1] or 0)
     return out

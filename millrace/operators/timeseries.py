@@ -6,6 +6,8 @@ A series is one group and must fit in a task.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,10 +70,21 @@ class _Forecaster(Params):
 
 @forecaster
 class AR(_Forecaster):
+    """``method``: yule_walker solves the equations of the autocovariances, ols regresses on the lags."""
+
     defaults = {"order": 1, "method": "yule_walker", "trend": "c"}
 
     def _predict(self, y, steps):
-        return arma(y, self.order, 0, steps)
+        if self.method != "yule_walker":
+            return arma(y, self.order, 0, steps)
+        mean = y.mean() if self.trend == "c" else 0.0
+        z, p = y - mean, min(self.order, len(y) - 1)
+        c = np.array([(z[k:] * z[: len(z) - k]).sum() for k in range(p + 1)])
+        b = np.linalg.lstsq(c[np.abs(np.subtract.outer(np.arange(p), np.arange(p)))], c[1:], rcond=None)[0] if p and c[0] else np.zeros(p)
+        past = list(z)
+        for _ in range(steps):
+            past.append(float(b @ np.array(past[: -p - 1 : -1])) if p else 0.0)
+        return np.array(past[len(z) :]) + mean
 
 
 @forecaster
@@ -110,12 +123,21 @@ class ARIMA(_Forecaster):
 
 @forecaster
 class ExponentialSmoothing(_Forecaster):
-    """Level, optional (damped) trend and additive or multiplicative season."""
+    """Level, optional (damped) trend and additive or multiplicative season.
+
+    Smoothing parameters that are not given are those of a grid with the least squared error one step ahead.
+    """
 
     defaults = {"trend": None, "seasonal": None, "seasonal_periods": None, "smoothing_level": None, "smoothing_trend": None, "smoothing_seasonal": None, "damped_trend": False, "damping": 0.98}
 
     def _predict(self, y, steps):
-        a, b, g = self.smoothing_level or 0.2, self.smoothing_trend or 0.1, self.smoothing_seasonal or 0.1
+        grid = lambda given, used: [given] if given is not None else [0.05, 0.2, 0.4, 0.6, 0.8, 0.95] if used else [0.0]
+        tried = itertools.product(grid(self.smoothing_level, True), grid(self.smoothing_trend, self.trend), grid(self.smoothing_seasonal, self.seasonal))
+        return min((self._smooth(y, steps, *p) for p in tried), key=lambda x: x[0])[1]
+
+    def _smooth(self, y, steps, a, b, g):
+        """Sum of squared errors one step ahead, and the forecast."""
+        error = 0.0
         m, phi = self.seasonal_periods or 1, self.damping if self.damped_trend else 1.0
         mul = self.seasonal == "mul"
         base = y[:m].mean()
@@ -123,6 +145,7 @@ class ExponentialSmoothing(_Forecaster):
         level, trend = base if self.seasonal else y[0], (y[min(m, len(y) - 1)] - y[0]) / max(m, 1) if self.trend else 0.0
         for i, v in enumerate(y):
             s = season[i % m]
+            error += (v - ((level + phi * trend) * s if mul else level + phi * trend + s)) ** 2
             before = level
             level = a * ((v / s if s else v) if mul else v - s) + (1 - a) * (level + phi * trend)
             if self.trend:
@@ -134,7 +157,7 @@ class ExponentialSmoothing(_Forecaster):
             damp += phi**h
             f, s = level + damp * trend, season[(len(y) + h - 1) % m]
             out.append(f * s if mul else f + s)
-        return np.array(out)
+        return error, np.array(out)
 
 
 def decompose(y: np.ndarray, period: int, robust_rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

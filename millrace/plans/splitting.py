@@ -1,7 +1,7 @@
 """Splitters as fold columns.
 
 A fold is a function of the row's id (its md5 with the seed) and of nothing else where sizes may vary by chance;
-``exact`` splitters rank rows by that hash, which costs one shuffle.  ``split(df)`` yields (train, test) pairs of
+``exact`` splitters rank rows by that hash or in order, in buckets, which costs one shuffle (:func:`ranked`).  ``split(df)`` yields (train, test) pairs of
 lazy filters.
 """
 
@@ -26,6 +26,41 @@ def fold_column(id_col: str, k: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(k)).cast("int")
 
 
+BUCKETS = 64
+
+
+def ranked(df: DataFrame, order: list[Column], key: Column, within: str | None = None) -> DataFrame:
+    """``df`` with ``_rank``, from 0, in the order of ``order`` (of each value of ``within``), and ``_n``, how many rows
+    there are.
+
+    No window sees all rows: ``key``, a number that rises with the order, deals rows to buckets between its sampled
+    quantiles; rows are numbered within a bucket, and the counts of the buckets before are added.
+    """
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    edges = sorted({float(e) for e in df.agg(F.percentile_approx(key, shares)).first()[0] or ()})
+    arr = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>")
+    rows = df.withColumns({"_b": F.coalesce(F.size(F.filter(arr, lambda e: e < key)), F.lit(-1)), "_in": F.col(within) if within else F.lit(0)})
+    before = Window.partitionBy("_in").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    n = rows.groupBy("_in", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    n = n.select(F.col("_in").alias("_in2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(Window.partitionBy("_in")).alias("_n"))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_in", "_b").orderBy(*order)))
+    out = rows.join(n, F.col("_in").eqNullSafe(F.col("_in2")) & (F.col("_b") == F.col("_b2")))
+    return out.select(*df.columns, (F.col("_o") + F.col("_r") - 1).alias("_rank"), "_n")
+
+
+def rising(df: DataFrame, col: str) -> Column:
+    """A number that rises with a column: itself, or of a text the first seven bytes."""
+    if dict(df.dtypes)[col] == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    kind = dict(df.dtypes)[col]
+    return F.col(col).cast("timestamp").cast("double") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(col).cast("double")
+
+
+def hash_place(hashed: Column) -> Column:
+    """The first 52 bits of a hash in hexadecimal digits, as a number."""
+    return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double")
+
+
 class BaseSplitter(Params):
     def folds(self, df: DataFrame, y: str | None = None) -> DataFrame:
         """``df`` with ``fold``."""
@@ -46,14 +81,21 @@ class KFold(BaseSplitter):
     def _by(self):
         return [order_key(self.id_col, self.random_state), F.col(self.id_col)] if self.shuffle else [F.col(self.id_col)]
 
-    def folds(self, df, y=None):
-        return df.withColumn("fold", F.ntile(self.n_splits).over(Window.orderBy(*self._by())) - 1)
+    def folds(self, df, y=None, within=None):
+        key = hash_place(self._by()[0]) if self.shuffle else rising(df, self.id_col)
+        rows, k = ranked(df, self._by(), key, within), F.lit(self.n_splits)
+        small, rest = F.floor(F.col("_n") / k), F.col("_n") % k
+        wide = rest * (small + 1)
+        fold = F.when(F.col("_rank") < wide, F.floor(F.col("_rank") / (small + 1))).otherwise(rest + F.floor((F.col("_rank") - wide) / F.greatest(small, F.lit(1))))
+        return rows.withColumn("fold", fold.cast("int")).drop("_rank", "_n")
 
 
 @splitter
 class StratifiedKFold(KFold):
+    """Folds of each class of ``y``."""
+
     def folds(self, df, y=None):
-        return df.withColumn("fold", F.ntile(self.n_splits).over(Window.partitionBy(y).orderBy(*self._by())) - 1)
+        return super().folds(df, y, y)
 
 
 @splitter
@@ -91,7 +133,7 @@ class GroupKFold(BaseSplitter):
 
     def folds(self, df, y=None):
         g = df.select(F.col(self.group_col).alias("_g")).where("_g is not null").distinct()
-        g = g.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy("_g")) - 1, F.lit(self.n_splits)))
+        g = ranked(g, [F.col("_g")], rising(g, "_g")).select("_g", F.pmod("_rank", F.lit(self.n_splits)).cast("int").alias("fold"))
         return df.join(g, F.col(self.group_col) == F.col("_g")).drop("_g")
 
 
@@ -103,19 +145,18 @@ class StratifiedGroupKFold(GroupKFold):
 
     def folds(self, df, y=None):
         n = df.groupBy(F.col(self.group_col).alias("_g"), F.col(y).alias("_y")).count()
-        g = n.groupBy("_g").agg(F.max_by("_y", "count").alias("_y"), F.sum("count").alias("_n"))
+        g = n.groupBy("_g").agg(F.max(F.struct("count", "_y"))["_y"].alias("_y"), F.sum("count").alias("_n"))
         g = g.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy("_y").orderBy(F.desc("_n"), "_g")) - 1, F.lit(self.n_splits))).select("_g", "fold")
         return df.join(g, F.col(self.group_col) == F.col("_g")).drop("_g")
 
 
 def holdout(df: DataFrame, test_size: float = 0.25, stratify: str | None = None, id_col: str = "row_id", seed: int | None = 0, shuffle: bool = True) -> DataFrame:
     """``df`` with ``is_test``: exactly int(n * share) rows (of each class max(1, that))."""
-    w = Window.partitionBy(*([stratify] if stratify else []))
     by = [order_key(id_col, seed), F.col(id_col)] if shuffle else [F.col(id_col).desc()]
-    n = F.count(F.lit(1)).over(w)
-    take = F.floor(n * F.lit(test_size)) if isinstance(test_size, float) else F.lit(test_size)
+    rows = ranked(df, by, hash_place(by[0]) if shuffle else -rising(df, id_col), stratify)
+    take = F.floor(F.col("_n") * F.lit(test_size)) if isinstance(test_size, float) else F.lit(test_size)
     take = F.greatest(take, F.lit(1)) if stratify else take
-    return df.withColumn("is_test", F.row_number().over(w.orderBy(*by)) <= take)
+    return rows.withColumn("is_test", F.col("_rank") < take).drop("_rank", "_n")
 
 
 def train_test_split(df, test_size=0.25, train_size=None, shuffle=True, stratify=None, random_state=None, id_col="row_id"):
@@ -197,7 +238,7 @@ class TimeSeriesSplit(BaseSplitter):
     def split(self, df, y=None):
         n = df.count()
         size = self.test_size or n // (self.n_splits + 1)
-        rows = df.withColumn("_i", F.row_number().over(Window.orderBy(self.order_by)) - 1)
+        rows = ranked(df, [F.col(self.order_by)], rising(df, self.order_by)).drop("_n").withColumnRenamed("_rank", "_i")
         for f in range(self.n_splits):
             start = n - (self.n_splits - f) * size
             end = start - self.gap

@@ -606,3 +606,6 @@ def flagship(spark, d):
     x = P.StandardScaler(columns=FEATS).fit_transform(_lines(spark, d, "l_returnflag"))
     out = NaiveBayesClassifier().fit(x, "l_returnflag", FEATS).predict(x)
     return out.groupBy("l_returnflag", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import more_queries  # noqa: E402, F401 (registers its queries)

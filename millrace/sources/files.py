@@ -82,16 +82,26 @@ def save_csv(path: str, df: DataFrame, delimiter: str = ",") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", delimiter).csv(path)
 
 
+def _numbers(s: pd.Series) -> pd.Series:
+    """As numbers, if all values are."""
+    v = pd.to_numeric(s, errors="coerce")
+    return v if v.notna().equals(s.notna()) else s
+
+
 def load_json(spark: SparkSession, path: str, target=-1, orient: str = "auto", lines: bool = False, handle_categorical: str = "encode") -> Dataset:
     """records (an array or one object a line), split, table, index or columns orient."""
     if lines or orient == "records":
         df = spark.read.option("multiLine", not lines).json(path)
         return encode(df, _target(df, target), handle_categorical)
+    head = [x[0].strip() for x in spark.read.text(path).limit(2).collect()]
+    if orient == "auto" and len(head) == 2 and all(x.startswith("{") and x.endswith("}") for x in head):
+        df = spark.read.json(path)  # one object a line
+        return encode(df, _target(df, target), handle_categorical)
     df = spark.read.option("multiLine", True).json(path)
     names = set(df.columns)
     if orient in ("auto", "split") and {"columns", "data"} <= names:
         r = df.select("columns", "data").first()
-        df = spark.createDataFrame(pd.DataFrame(r["data"], columns=r["columns"]).apply(pd.to_numeric, errors="ignore"))
+        df = spark.createDataFrame(pd.DataFrame(r["data"], columns=r["columns"]).apply(_numbers))
     elif orient in ("auto", "table") and {"schema", "data"} <= names:
         df = df.select(F.explode("data").alias("r")).select("r.*")
     elif orient == "index" or orient == "auto" and names and all(t.startswith("struct") for _, t in df.dtypes):
