@@ -8,6 +8,7 @@ or joins that stay lazy.
 from __future__ import annotations
 
 import json
+from enum import Enum
 from importlib import import_module
 from typing import Any
 
@@ -51,7 +52,7 @@ class Params:
         return f"{type(self).__name__}({', '.join(f'{k}={v!r}' for k, v in self.get_params().items())})"
 
 
-_MODULES = ("operators.preprocessing", "operators.features", "operators.neighbors", "operators.sampling", "operators.learners", "operators.trees", "operators.clustering", "operators.associations", "operators.timeseries", "operators.rules", "functions.text", "functions.kernels", "plans.splitting")
+_MODULES = ("operators.preprocessing", "operators.features", "operators.neighbors", "operators.sampling", "operators.learners", "operators.online", "operators.trees", "operators.clustering", "operators.associations", "operators.timeseries", "operators.rules", "functions.text", "functions.kernels", "plans.splitting")
 
 
 class Registry:
@@ -94,9 +95,41 @@ class Registry:
         return {"name": name, "kind": x["kind"], "tags": x["tags"], "version": x["version"], "doc": (x["cls"].__doc__ or "").strip(), "parameters": x["cls"].get_parameter_schema()}
 
 
+AlgorithmRegistry = Registry
 registry = Registry()
 
 
+class ComponentType(Enum):
+    """Kinds of registered components."""
+
+    CLASSIFIER = "classifier"
+    REGRESSOR = "regressor"
+    CLUSTERER = "clusterer"
+    ASSOCIATOR = "associator"
+    TRANSFORMER = "transformer"
+    FILTER = "filter"
+    PREPROCESSOR = "preprocessor"
+    FEATURE_SELECTOR = "feature_selector"
+    FEATURE_EXTRACTOR = "feature_extractor"
+    FEATURE_CONSTRUCTOR = "feature_constructor"
+    KERNEL = "kernel"
+    DETECTOR = "detector"
+    FORECASTER = "forecaster"
+    SAMPLER = "sampler"
+    SPLITTER = "splitter"
+
+
+class Registrable:
+    """Subclasses that name a ``component_type`` register themselves."""
+
+    component_type: ComponentType | None = None
+
+    def __init_subclass__(cls, **kw):
+        super().__init_subclass__(**kw)
+        if cls.component_type is not None:
+            registry.add(cls, cls.component_type.value, tags=getattr(cls, "tags", None))
+
+
 def _decorator(kind: str):
     def outer(name: str | None = None, tags: list[str] | None = None, version: str = "1.0.0", author: str | None = None):
         if isinstance(name, type):

@@ -8,12 +8,14 @@ Every function takes ``(df, true column, predicted column)``.
 from __future__ import annotations
 
 import math
+from enum import Enum
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..base import clean
+from ..base import Params, clean
 
 # ---------------------------------------------------------------- pairs of labels
 
@@ -53,6 +55,75 @@ def _div(a: float, b: float, other: float = 0.0) -> float:
 safe_divide = _div
 
 
+class MetricType(Enum):
+    CLASSIFICATION = "classification"
+    REGRESSION = "regression"
+    CLUSTERING = "clustering"
+
+
+class AverageType(Enum):
+    BINARY = "binary"
+    MICRO = "micro"
+    MACRO = "macro"
+    WEIGHTED = "weighted"
+    NONE = "none"
+
+
+class Metric(Params):
+    """A metric as an object: ``compute(df, y_true, y_pred)``, which calling it does too."""
+
+    metric_type = MetricType.CLASSIFICATION
+    higher_is_better = True
+
+    def compute(self, df, y_true, y_pred) -> float:
+        raise NotImplementedError
+
+    def __call__(self, df, y_true, y_pred) -> float:
+        return self.compute(df, y_true, y_pred)
+
+
+def check_consistent_length(*columns) -> None:
+    """Array columns ``(df, column, column, ...)`` of equal lengths in every row, or plain sequences of equal lengths."""
+    if columns and isinstance(columns[0], DataFrame):
+        df, first, *rest = columns
+        odd = reduce(lambda a, b: a | b, [F.size(first) != F.size(c) for c in rest], F.lit(False))
+        if not df.where(odd).isEmpty():
+            raise ValueError(f"columns {first}, {', '.join(rest)} differ in length")
+    elif len({len(c) for c in columns if c is not None}) > 1:
+        raise ValueError(f"lengths differ: {[len(c) for c in columns if c is not None]}")
+
+
+def get_class_labels(df, y_true, y_pred=None) -> list:
+    """Sorted distinct labels of one or both columns, without null."""
+    rows = df.select(F.col(y_true).alias("l"))
+    rows = rows.unionByName(df.select(F.col(y_pred).alias("l"))) if y_pred else rows
+    return [r[0] for r in rows.where("l is not null").distinct().orderBy("l").collect()]
+
+
+def get_num_classes(df, y_true, y_pred=None) -> int:
+    rows = df.select(F.col(y_true).alias("l"))
+    rows = rows.unionByName(df.select(F.col(y_pred).alias("l"))) if y_pred else rows
+    return rows.agg(F.countDistinct("l")).first()[0]
+
+
+def is_binary(df, y_true, y_pred=None) -> bool:
+    return get_num_classes(df, y_true, y_pred) <= 2
+
+
+def check_classification_targets(df, y_true, y_pred) -> None:
+    """Labels of both columns must be comparable and, if numbers, whole."""
+    kinds = dict(df.dtypes)
+    if (kinds[y_true] == "string") != (kinds[y_pred] == "string"):
+        raise ValueError(f"{y_true} is {kinds[y_true]}, {y_pred} is {kinds[y_pred]}")
+    for c in (y_true, y_pred):
+        if kinds[c] in ("double", "float") and not df.where(F.col(c).isNotNull() & (F.col(c) != F.floor(c))).isEmpty():
+            raise ValueError(f"{c} is continuous")
+
+
+def weighted_sum(df, values, weights) -> float:
+    return df.agg(F.sum(clean(values) * clean(weights))).first()[0] or 0.0
+
+
 def confusion_matrix(df, y_true, y_pred, labels=None, normalize=None) -> np.ndarray:
     m = _Table(df, y_true, y_pred, labels=labels).m
     if normalize == "true":

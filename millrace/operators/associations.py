@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
@@ -14,6 +15,25 @@ from pyspark.sql import functions as F
 from ..base import Params, associator
 
 
+class FrequentItemset(NamedTuple):
+    items: tuple
+    support: float
+    count: int
+
+
+class AssociationRule(NamedTuple):
+    antecedent: tuple
+    consequent: tuple
+    support: float
+    confidence: float
+    lift: float
+    leverage: float
+    conviction: float
+    jaccard: float
+    cosine: float
+    kulczynski: float
+
+
 class Associator(Params):
     """``fit(df, items)`` gives ``itemsets`` (items, count, support) and ``rules`` as DataFrames.
 
@@ -34,6 +54,16 @@ class Associator(Params):
         self.itemsets = sets.withColumn("support", F.col("count") / F.lit(max(self.n, 1)))
         return self
 
+    def top_itemsets(self, n: int = 100) -> list[FrequentItemset]:
+        """The ``n`` most frequent sets as records."""
+        rows = self.itemsets.orderBy(F.desc("count"), F.size("items"), F.col("items").cast("string")).limit(n).collect()
+        return [FrequentItemset(tuple(r["items"]), r["support"], r["count"]) for r in rows]
+
+    def top_rules(self, n: int = 100, by: str = "confidence") -> list[AssociationRule]:
+        """The ``n`` best rules by a measure as records."""
+        rows = self.rules.orderBy(F.desc(by), F.desc("count"), F.col("antecedent").cast("string"), F.col("consequent").cast("string")).limit(n).collect()
+        return [AssociationRule(tuple(r["antecedent"]), tuple(r["consequent"]), *[r[f] for f in AssociationRule._fields[2:]]) for r in rows]
+
     @property
     def rules(self) -> DataFrame:
         kind = self.itemsets.schema["items"].dataType.simpleString()

@@ -105,6 +105,8 @@ class NaiveBayesClassifier(Classifier):
     defaults = {"use_kernel_estimator": False, "use_laplace": True}
 
     def fit(self, df, label=None, features=None):
+        if self.use_kernel_estimator:
+            raise ValueError("use_kernel_estimator: use functions.estimators.KernelEstimator of each class")
         self._names(df, label, features)
         rows = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(self.features) for e in (F.avg(clean(c)).alias(f"m{i}"), F.var_pop(clean(c)).alias(f"v{i}"))]).orderBy(label).collect()
         total = sum(r["n"] for r in rows)
@@ -165,6 +167,8 @@ class BayesianNetworkClassifier(Classifier):
     defaults = {"search_algorithm": "naive", "max_parents": 3, "use_laplace": True, "random_state": None, "n_bins": 10}
 
     def fit(self, df, label=None, features=None):
+        if self.search_algorithm != "naive":
+            raise ValueError("search_algorithm: only naive (each column has the class as its parent)")
         from .preprocessing import QuantileDiscretizer
 
         self._names(df, label, features)
@@ -338,8 +342,17 @@ _FOREST = _TREE | {"n_estimators": 100, "max_features": "sqrt"}
 _BOOST = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3, "subsample": 1.0, "min_child_weight": 1, "random_state": None, "max_bins": 64}
 
 
+#: The depth that pyspark.ml's trees can have; none given means this.
+MOST_LEVELS = 30
+
+
 def _tree_kw(s) -> dict:
-    return {"maxDepth": min(s.max_depth or 12, 30), "minInstancesPerNode": s.min_samples_leaf, "maxBins": s.max_bins, "seed": s.random_state or 0}
+    """Parameters of pyspark.ml's trees, which go 30 levels deep at most and know no cost-complexity pruning."""
+    if (s.max_depth or 0) > MOST_LEVELS:
+        raise ValueError(f"max_depth is {MOST_LEVELS} at most")
+    if getattr(s, "ccp_alpha", 0.0):
+        raise ValueError("ccp_alpha: use the trees of operators.trees or tree_tools.cost_complexity_prune")
+    return {"maxDepth": s.max_depth or MOST_LEVELS, "minInstancesPerNode": max(s.min_samples_leaf, (s.min_samples_split + 1) // 2 if s.min_samples_split > 2 else 1), "maxBins": s.max_bins, "seed": s.random_state or 0}
 
 
 def _impurity(s) -> str:
@@ -350,9 +363,6 @@ _ml(Classifier, "LogisticRegression", "Multinomial logistic regression with ridg
 _ml(Classifier, "SimpleLogisticRegression", "Logistic regression with a few iterations.", {"n_boosting_iterations": 500, "use_cross_validation": True, "n_folds": 5, "weight_trim_beta": 0.0, "use_aic": False}, lambda s, d, k: C.LogisticRegression(maxIter=s.n_boosting_iterations, regParam=1e-6))
 _ml(Classifier, "SGDClassifier", "Linear model: hinge loss gives a linear SVM, log loss logistic regression; l1, l2 or elastic net.", {"loss": "hinge", "learning_rate": 0.01, "regularization": "l2", "lambda_": 1e-4, "n_epochs": 100, "l1_ratio": 0.15}, lambda s, d, k: C.LinearSVC(maxIter=s.n_epochs, regParam=s.lambda_) if s.loss == "hinge" and s.regularization == "l2" else C.LogisticRegression(maxIter=s.n_epochs, regParam=s.lambda_, elasticNetParam={"l1": 1.0, "elasticnet": s.l1_ratio}.get(s.regularization, 0.0)))
 _ml(Regressor, "SGDRegressor", "Linear model with squared or Huber loss; l1, l2 or elastic net.", {"loss": "squared_error", "learning_rate": 0.01, "regularization": "l2", "lambda_": 1e-4, "n_epochs": 100, "l1_ratio": 0.15}, lambda s, d, k: R.LinearRegression(maxIter=s.n_epochs, regParam=s.lambda_, loss="huber" if s.loss == "huber" else "squaredError", elasticNetParam=0.0 if s.loss == "huber" else {"l1": 1.0, "elasticnet": s.l1_ratio}.get(s.regularization, 0.0)))
-_ml(Classifier, "PerceptronClassifier", "A linear separator with hinge loss.", {"learning_rate": 1.0, "max_iter": 1000, "tol": 1e-3, "shuffle": True, "random_state": None}, lambda s, d, k: C.LinearSVC(maxIter=min(s.max_iter, 200), regParam=0.0, tol=s.tol))
-_ml(Classifier, "VotedPerceptronClassifier", "A linear separator with hinge loss and slight ridge.", {"max_iter": 1, "exponent": 1.0, "random_state": None}, lambda s, d, k: C.LinearSVC(maxIter=100, regParam=1e-4))
-_ml(Classifier, "AveragedPerceptronClassifier", "A linear separator with hinge loss and ridge.", {"learning_rate": 1.0, "max_iter": 5, "shuffle": True, "random_state": None}, lambda s, d, k: C.LinearSVC(maxIter=100, regParam=1e-3))
 _ml(Classifier, "MultilayerPerceptronClassifier", "Hidden layers with a softmax output.", {"hidden_layers": None, "learning_rate": 0.1, "momentum": 0.9, "max_epochs": 200, "validation_size": 0.0, "random_state": None}, lambda s, d, k: C.MultilayerPerceptronClassifier(layers=[d, *(s.hidden_layers or [(d + k) // 2 + 1]), k], maxIter=s.max_epochs, seed=s.random_state or 0))
 _ml(Classifier, "DecisionTreeClassifier", "One tree over quantile bins: gini or entropy.", _TREE | {"ccp_alpha": 0.0}, lambda s, d, k: C.DecisionTreeClassifier(impurity=_impurity(s), **_tree_kw(s)))
 _ml(Regressor, "DecisionTreeRegressor", "One tree over quantile bins by variance.", _TREE | {"criterion": "squared_error", "ccp_alpha": 0.0}, lambda s, d, k: R.DecisionTreeRegressor(**_tree_kw(s)))
@@ -425,17 +435,6 @@ class GaussianProcessesRegressor(SVR):
         return R.LinearRegression(regParam=self.noise * 1e-3, maxIter=200)
 
 
-@regressor
-class MultilayerPerceptronRegressor(_Fourier, Regressor):
-    """One hidden layer with random weights and a fitted linear output."""
-
-    defaults = {"hidden_layers": None, "learning_rate": 0.1, "momentum": 0.9, "max_epochs": 200, "random_state": None}
-    kernel, gamma = "rbf", "scale"
-
-    def _estimator(self, d, k):
-        return R.LinearRegression(regParam=1e-4, maxIter=self.max_epochs)
-
-
 # ---------------------------------------------------------------- ensembles
 
 
@@ -464,6 +463,8 @@ class VotingClassifier(_Members, Classifier):
     defaults = {"classifiers": None, "combination_rule": "majority"}
 
     def fit(self, df, label=None, features=None):
+        if self.combination_rule != "majority":
+            raise ValueError("combination_rule: only majority")
         self._names(df, label, features)
         self.classes = classes_of(df, label)
         self.members = [resolve(c).fit(df, label, self.features) for c in self.classifiers or ("NaiveBayesClassifier", "DecisionTreeClassifier")]
@@ -630,8 +631,51 @@ class AdditiveRegression(_Members, Regressor):
 
 
 @regressor
-class AdaBoostRegressor(AdditiveRegression):
-    defaults = {"base_regressor": None, "n_estimators": 10, "random_state": None, "shrinkage": 0.5, "minimize_absolute_error": False}
+class AdaBoostRegressor(_Members, Regressor):
+    """Drucker's boosting: each member is fitted with the rows weighed by the errors so far, and the prediction is the
+    members' median, weighed by the logarithm of one over their odds of error.
+
+    ``loss``: linear, square or exponential, of the error's share of the largest.  Boosting ends where a member's mean
+    loss reaches one half.  The rows with their weights are written once a round.
+    """
+
+    defaults = {"base_regressor": None, "n_estimators": 10, "learning_rate": 1.0, "loss": "linear", "random_state": None}
+
+    def fit(self, df, label=None, features=None):
+        from ..plans.graph import cut, discard
+
+        self._names(df, label, features)
+        rows = df.select(*dict.fromkeys([*self.features, label])).where(clean(label).isNotNull())
+        rows = cut(rows.withColumn("_w", F.lit(1.0)))
+        self.members, self.powers = [], []
+        for _ in range(self.n_estimators):
+            m = resolve(self.base_regressor or DecisionTreeRegressor(max_depth=3))._fit_ml(rows, label, self.features, "_w")  # noqa: F821
+            out = m.predict(rows).withColumn("_e", F.abs(clean(label) - F.col("prediction"))).select(*rows.columns, "_e")
+            most = out.agg(F.max("_e")).first()[0] or 0.0
+            if most <= 0:
+                self.members, self.powers = [*self.members, m], [*self.powers, 1.0]
+                break
+            share = F.col("_e") / F.lit(most)
+            lost = {"linear": share, "square": share * share, "exponential": 1 - F.exp(-share)}[self.loss]
+            mean = out.agg(F.sum(F.col("_w") * lost) / F.sum("_w")).first()[0]
+            if mean >= 0.5:
+                if not self.members:
+                    self.members, self.powers = [m], [1.0]
+                break
+            odds = max(mean / (1 - mean), 1e-10)
+            self.members.append(m)
+            self.powers.append(self.learning_rate * math.log(1 / odds))
+            rows, before = cut(out.withColumn("_w", F.col("_w") * F.pow(F.lit(odds), (1 - lost) * self.learning_rate)).select(*rows.columns)), rows
+            discard(before)
+        return self
+
+    def predict(self, df):
+        out, cols = self._each(df)
+        votes = F.array_sort(F.array(*[F.struct(c.alias("p"), F.lit(w).alias("w")) for c, w in zip(cols, self.powers, strict=True)]))
+        half = F.lit(sum(self.powers) / 2)
+        step = lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["m"].isNull() & (a["s"] + x["w"] >= half - 1e-12), x["p"]).otherwise(a["m"]).alias("m"))
+        middle = F.aggregate(votes, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("m")), step)["m"]
+        return self._finish(out, middle)
 
 
 class _Stack(_Members):

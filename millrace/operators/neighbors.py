@@ -77,17 +77,32 @@ def matrix_distance(x: np.ndarray, y: np.ndarray, metric: str = "euclidean", p:
     return out
 
 
-def pairwise_distances(df: DataFrame, other: DataFrame | None, id_col: str, vector_col: str, metric: str = "euclidean") -> DataFrame:
+def pairwise_distances(df: DataFrame, other: DataFrame | None, id_col: str, vector_col: str, metric: str = "euclidean", **kw) -> DataFrame:
     """``i, j, distance`` of all pairs of two tables, or of i < j of one.  For small tables: it has n * m rows."""
     a = df.select(F.col(id_col).alias("i"), F.col(vector_col).alias("_a"))
     b = (other if other is not None else df).select(F.col(id_col).alias("j"), F.col(vector_col).alias("_b"))
     pairs = a.join(b, F.col("i") < F.col("j")) if other is None else a.crossJoin(b)
-    return pairs.select("i", "j", DISTANCES[metric]("_a", "_b").alias("distance"))
+    return pairs.select("i", "j", DISTANCES[metric]("_a", "_b", **kw).alias("distance"))
 
 
 cdist = pairwise_distances
 
 
+def _of_metric(metric: str):
+    def pairwise(df: DataFrame, other: DataFrame | None, id_col: str, vector_col: str, **kw) -> DataFrame:
+        return pairwise_distances(df, other, id_col, vector_col, metric, **kw)
+
+    pairwise.__doc__ = f"``i, j, distance`` of all pairs by {metric} distance; see :func:`pairwise_distances`."
+    return pairwise
+
+
+euclidean_pairwise = _of_metric("euclidean")
+manhattan_pairwise = _of_metric("manhattan")
+chebyshev_pairwise = _of_metric("chebyshev")
+cosine_pairwise = _of_metric("cosine")
+minkowski_pairwise = _of_metric("minkowski")
+
+
 def pdist(df, id_col, vector_col, metric="euclidean"):
     return pairwise_distances(df, None, id_col, vector_col, metric)
 

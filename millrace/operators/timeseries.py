@@ -110,6 +110,8 @@ class ARIMA(_Forecaster):
     defaults = {"order": (1, 0, 0), "seasonal_order": None, "trend": None, "method": "css-mle", "maxiter": 50}
 
     def _predict(self, y, steps):
+        if self.seasonal_order:
+            raise ValueError("seasonal_order is not supported; take seasonal differences first")
         p, d, q = self.order
         tails = []
         for _ in range(d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import time
+from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
 from enum import Enum
 from typing import Any
@@ -207,6 +208,42 @@ class ExperimentConfig:
     method: ValidationMethod = ValidationMethod.CROSS_VALIDATION
 
 
+@dataclass
+class FoldResult:
+    """Scores of one fitted model on one fold."""
+
+    fold: int
+    scores: dict[str, float]
+    seconds: float = 0.0
+
+
+@dataclass
+class ModelResult:
+    """A model's folds on one dataset."""
+
+    model: str
+    folds: list[FoldResult] = field(default_factory=list)
+
+    def values(self, metric: str) -> np.ndarray:
+        return np.array([f.scores.get(metric, math.nan) for f in self.folds])
+
+    def mean(self, metric: str) -> float:
+        return float(np.nanmean(self.values(metric)))
+
+    def std(self, metric: str) -> float:
+        return float(np.nanstd(self.values(metric)))
+
+
+@dataclass
+class DatasetResult:
+    dataset: str
+    models: dict[str, ModelResult] = field(default_factory=dict)
+
+    def best(self, metric: str, higher_better: bool = True) -> str:
+        pick = max if higher_better else min
+        return pick(self.models, key=lambda m: self.models[m].mean(metric))
+
+
 @dataclass
 class ExperimentResults:
     """One long table: dataset, model, fold, metric, value."""
@@ -216,15 +253,40 @@ class ExperimentResults:
     def summary(self) -> pd.DataFrame:
         return self.table.groupby(["dataset", "model", "metric"])["value"].agg(["mean", "std"]).reset_index()
 
+    def datasets(self) -> dict[str, DatasetResult]:
+        """The same results as records: dataset, model, fold."""
+        out: dict[str, DatasetResult] = {}
+        for (dname, mname), rows in self.table.groupby(["dataset", "model"], sort=False):
+            model = out.setdefault(dname, DatasetResult(dname)).models.setdefault(mname, ModelResult(mname))
+            for f, fold in rows.groupby("fold"):
+                scores = dict(zip(fold["metric"], fold["value"], strict=True))
+                model.folds.append(FoldResult(int(f), scores, scores.pop("seconds", 0.0)))
+        return out
+
     def matrix(self, metric: str, **kw) -> ResultMatrix:
         return ResultMatrix(self.table[self.table["metric"] == metric], metric, **kw)
 
 
-class Experiment:
+class BaseValidator(ABC):
+    """Anything with ``split(df, y)``, which yields (train, test) pairs."""
+
+    @abstractmethod
+    def split(self, df: DataFrame, y: str | None = None): ...
+
+
+class BaseExperiment(ABC):
+    def __init__(self, config: ExperimentConfig | None = None):
+        self.config = config or ExperimentConfig()
+
+    @abstractmethod
+    def run(self, models: dict, datasets: dict, features=None) -> ExperimentResults: ...
+
+
+class Experiment(BaseExperiment):
     """models x datasets x folds; a fold that fails gives NaN."""
 
     def __init__(self, config: ExperimentConfig | None = None, metrics=None, experiment_type=ExperimentType.CLASSIFICATION):
-        self.config = config or ExperimentConfig()
+        super().__init__(config)
         self.metrics = metrics or (["accuracy", "f1"] if experiment_type is ExperimentType.CLASSIFICATION else ["r2", "rmse"])
 
     def run(self, models: dict, datasets: dict[str, tuple[DataFrame, str]], features=None) -> ExperimentResults:

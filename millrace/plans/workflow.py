@@ -178,6 +178,23 @@ def load_model_info(path: str) -> dict:
     return {"class": cls.__name__, "parts": parts, "metadata": json.loads(meta)}
 
 
+def execute_read_data(df: DataFrame, n: int = 10, mode: str = "head", condition: str | None = None, columns: list[str] | None = None, seed: int = 0) -> list[dict]:
+    """A preview of at most ``n`` rows: the first (head), a sample, or those that meet an SQL ``condition``."""
+    rows = df.where(condition) if condition else df
+    rows = rows.select(*columns) if columns else rows
+    if mode == "sample":
+        rows = rows.sample(min(1.0, 4 * n / max(1, rows.count())), seed)
+    elif mode != "head":
+        raise ValueError(f"no mode {mode!r}: head or sample")
+    return [r.asDict(recursive=True) for r in rows.limit(n).collect()]
+
+
+def execute_data_profile(df: DataFrame, target: str | None = None) -> dict:
+    """Shape, types, missing values, statistics and class sizes; see :func:`profile`."""
+    out = profile(df, target)
+    return {"shape": (out["rows"], len(df.columns)), **out}
+
+
 def profile(df: DataFrame, target: str | None = None) -> dict:
     """Rows, types, missing values and statistics in one aggregate."""
     from pyspark.sql import functions as F

@@ -157,6 +157,30 @@ class Attribute:
     values: list[str] = field(default_factory=list)
 
 
+@dataclass
+class ARFFData:
+    """A relation: its name, its attributes as declared, and its rows."""
+
+    relation: str
+    attributes: list[Attribute]
+    frame: DataFrame
+
+    @property
+    def nominal(self) -> dict[str, list[str]]:
+        return {a.name: a.values for a in self.attributes if a.kind == "nominal"}
+
+
+def read_arff(spark: SparkSession, path: str) -> ARFFData:
+    """A file with its declaration; nominal values are their text."""
+    data = load_arff(spark, path)
+    head = [_attribute(r[0]) for r in spark.read.text(path).where(F.lower(F.trim("value")).startswith("@attribute")).collect()]
+    df = data.frame
+    for a in head:
+        if a.kind == "nominal":
+            df = df.withColumn(a.name, F.element_at(F.array(*map(F.lit, a.values)), F.col(f"`{a.name}`").cast("int") + 1))
+    return ARFFData(data.name, head, df)
+
+
 def _attribute(line: str) -> Attribute:
     m = _ATTRIBUTE.match(line.strip())
     kind = m[4].strip()

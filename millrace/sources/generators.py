@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,27 @@ from pyspark.sql import functions as F
 from ..base import Params
 
 
-class Generator(Params):
+@dataclass
+class GeneratedData:
+    """A generated table with the names of its columns; ``frame`` is lazy."""
+
+    frame: DataFrame
+    feature_names: list[str]
+    target_name: str | None = None
+
+    @property
+    def X(self) -> DataFrame:  # noqa: N802
+        return self.frame.select(*self.feature_names)
+
+    @property
+    def y(self) -> DataFrame | None:
+        return self.frame.select(self.target_name) if self.target_name else None
+
+
+class DataGenerator(Params):
+    """``generate(spark)`` gives a table; ``data(spark)`` the same with its columns told apart."""
+
+    target: str | None = "y"
     def _rows(self, spark: SparkSession) -> DataFrame:
         return spark.range(self.n_samples).withColumnRenamed("id", "row_id")
 
@@ -24,8 +45,28 @@ class Generator(Params):
     def generate(self, spark: SparkSession) -> DataFrame:
         raise NotImplementedError
 
+    def data(self, spark: SparkSession) -> GeneratedData:
+        df = self.generate(spark)
+        target = self.target if self.target in df.columns else None
+        return GeneratedData(df, [c for c in df.columns if c not in ("row_id", target)], target)
+
+
+Generator = DataGenerator
+
+
+class ClassificationGenerator(DataGenerator):
+    """Tables whose ``y`` is a class."""
+
+
+class RegressionGenerator(DataGenerator):
+    """Tables whose ``y`` is a number."""
+
+
+class ClusteringGenerator(DataGenerator):
+    """Tables whose ``y`` is the cluster that a row was drawn from."""
+
 
-class Agrawal(Generator):
+class Agrawal(ClassificationGenerator):
     """Loan applicants and a rule of their group."""
 
     defaults = {"n_samples": 100, "function": 1, "perturbation": 0.05, "random_state": None}
@@ -56,7 +97,7 @@ class Agrawal(Generator):
         return d.withColumns(jitter) if self.perturbation else d
 
 
-class Hyperplane(Generator):
+class Hyperplane(ClassificationGenerator):
     defaults = {"n_samples": 100, "n_features": 10, "n_drift_features": 0, "noise": 0.0, "random_state": None}
 
     def generate(self, spark):
@@ -66,7 +107,7 @@ class Hyperplane(Generator):
         return d.withColumn("y", F.when(self._u(999) < self.noise, ~side).otherwise(side).cast("int"))
 
 
-class LED(Generator):
+class LED(ClassificationGenerator):
     """Digits on seven noisy segments, with bits that mean nothing."""
 
     defaults = {"n_samples": 100, "noise": 0.1, "n_irrelevant": 17, "random_state": None}
@@ -81,7 +122,7 @@ class LED(Generator):
         return d.withColumns({f"r{i}": (self._u(50 + i) < 0.5).cast("int") for i in range(self.n_irrelevant)})
 
 
-class RandomRBF(Generator):
+class RandomRBF(ClassificationGenerator):
     """Rows around weighted centroids, each of a class, at a normal distance in a random direction."""
 
     defaults = {"n_samples": 100, "n_features": 10, "n_classes": 2, "n_centroids": 50, "random_state": None}
@@ -98,7 +139,7 @@ class RandomRBF(Generator):
         return d.select("row_id", *[(F.col(f"_m{i}") + F.col(f"_d{i}") / size * F.col("_r")).alias(f"f{i}") for i in range(self.n_features)], "y")
 
 
-class Blobs(Generator):
+class Blobs(ClusteringGenerator):
     defaults = {"n_samples": 100, "n_features": 2, "n_clusters": 3, "cluster_std": 1.0, "centers": None, "center_box": (-10.0, 10.0), "shuffle": True, "random_state": None}
 
     def generate(self, spark):
@@ -109,7 +150,7 @@ class Blobs(Generator):
         return d.select("row_id", *[(at(i) + self._n(i) * self.cluster_std).alias(f"f{i}") for i in range(c.shape[1])], "y")
 
 
-class Circles(Generator):
+class Circles(ClusteringGenerator):
     defaults = {"n_samples": 100, "noise": 0.05, "factor": 0.5, "shuffle": True, "random_state": None}
 
     def generate(self, spark):
@@ -118,7 +159,7 @@ class Circles(Generator):
         return d.select("row_id", (r * F.cos("_t") + self._n(1) * self.noise).alias("f0"), (r * F.sin("_t") + self._n(2) * self.noise).alias("f1"), "y")
 
 
-class Moons(Generator):
+class Moons(ClusteringGenerator):
     defaults = {"n_samples": 100, "noise": 0.1, "shuffle": True, "random_state": None}
 
     def generate(self, spark):
@@ -129,7 +170,7 @@ class Moons(Generator):
         return d.select("row_id", (x + self._n(1) * self.noise).alias("f0"), (y + self._n(2) * self.noise).alias("f1"), "y")
 
 
-class SwissRoll(Generator):
+class SwissRoll(ClusteringGenerator):
     defaults = {"n_samples": 100, "noise": 0.0, "hole": False, "random_state": None}
 
     def generate(self, spark):
@@ -139,7 +180,7 @@ class SwissRoll(Generator):
         return d.select("row_id", (F.col("t") * F.cos("t") + self._n(2) * self.noise).alias("f0"), (F.col("_h") + self._n(3) * self.noise).alias("f1"), (F.col("t") * F.sin("t") + self._n(4) * self.noise).alias("f2"), F.col("t").alias("y"))
 
 
-class Friedman(Generator):
+class Friedman(RegressionGenerator):
     defaults = {"n_samples": 100, "n_features": 10, "function": 1, "noise": 0.0, "random_state": None}
 
     def generate(self, spark):
@@ -153,7 +194,7 @@ class Friedman(Generator):
         return d.withColumn("y", y + self._n(900) * self.noise)
 
 
-class MexicanHat(Generator):
+class MexicanHat(RegressionGenerator):
     defaults = {"n_samples": 100, "noise": 0.0, "low": -5.0, "high": 5.0, "random_state": None}
 
     def generate(self, spark):
@@ -161,7 +202,7 @@ class MexicanHat(Generator):
         return d.withColumn("y", (1 - F.col("f0") ** 2) * F.exp(-(F.col("f0") ** 2) / 2) + self._n(1) * self.noise)
 
 
-class Sine(Generator):
+class Sine(RegressionGenerator):
     defaults = {"n_samples": 100, "noise": 0.0, "random_state": None}
 
     def generate(self, spark):
