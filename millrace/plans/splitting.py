@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..base import Params, splitter
 from ..operators.sampling import uniform
+from .graph import cut
 
 
 def order_key(id_col: str, seed: int | None) -> Column:
@@ -38,11 +39,16 @@ def ranked(df: DataFrame, order: list[Column], key: Column, within: str | None =
     """
     shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     edges = sorted({float(e) for e in df.agg(F.percentile_approx(key, shares)).first()[0] or ()})
-    arr = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>")
-    rows = df.withColumns({"_b": F.coalesce(F.size(F.filter(arr, lambda e: e < key)), F.lit(-1)), "_in": F.col(within) if within else F.lit(0)})
+
+    def bucket(lo: int, hi: int) -> Column:
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(key > F.lit(edges[mid]), bucket(mid + 1, hi)).otherwise(bucket(lo, mid))
+
+    rows = df.withColumns({"_b": bucket(0, len(edges)), "_in": F.col(within) if within else F.lit(0)})
     before = Window.partitionBy("_in").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     n = rows.groupBy("_in", "_b").agg(F.count(F.lit(1)).alias("_c"))
     n = n.select(F.col("_in").alias("_in2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(Window.partitionBy("_in")).alias("_n"))
+    n = cut(n)  # written, so that a split joined with another one of the same table is planned well
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_in", "_b").orderBy(*order)))
     out = rows.join(n, F.col("_in").eqNullSafe(F.col("_in2")) & (F.col("_b") == F.col("_b2")))
     return out.select(*df.columns, (F.col("_o") + F.col("_r") - 1).alias("_rank"), "_n")
