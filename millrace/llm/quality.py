@@ -21,7 +21,10 @@ MAX_TRAIN = 20_000
 BUCKETS, DIM, WINDOW = 8_192, 32, 2
 THRESHOLD = 0.3
 _RUN = re.compile(r"(.)\1+", re.S)
-_CLASS = {**{c: "a" for c in map(chr, range(97, 123))}, **{c: "A" for c in map(chr, range(65, 91))}, **{c: "0" for c in "0123456789"}}
+_ASCII = str.maketrans({**{c: "a" for c in map(chr, range(97, 123))}, **{c: "A" for c in map(chr, range(65, 91))}, **{c: "0" for c in "0123456789"}})
+#: Words whose buckets a cache keeps; beyond, it starts anew.
+CACHED = 500_000
+_LOW = BUCKETS.bit_length() - 1
 
 
 def _bucket(s: str) -> int:
@@ -29,15 +32,31 @@ def _bucket(s: str) -> int:
 
 
 class _Words(dict):
-    """Of a word: the buckets of its letters and of its shape (runs of classes of characters)."""
+    """Of a word: the bucket of its letters (upper bits) and of its shape (runs of classes of characters; lower bits)."""
 
-    def __missing__(self, w: str) -> tuple[int, int]:
-        if len(self) > 500_000:
+    def __init__(self):
+        super().__init__()
+        self.shapes: dict[str, int] = {}
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > CACHED:
             self.clear()
-        shape = "".join(_CLASS.get(c) or ("a" if c.islower() else "A" if c.isupper() else c) for c in w)
-        out = self[w] = (_bucket("w" + "".join(filter(str.isalpha, w)).lower()), _bucket("s" + _RUN.sub(r"\1", shape)))
+            self.shapes.clear()
+        raw = w.translate(_ASCII)
+        if not w.isascii():
+            raw = "".join("a" if c.islower() else "A" if c.isupper() else c for c in raw)
+        if (shape := self.shapes.get(raw, -1)) < 0:
+            shape = self.shapes[raw] = _bucket("s" + _RUN.sub(r"\1", raw))
+        letters = w if w.isalpha() else "".join(filter(str.isalpha, w))
+        out = self[w] = _bucket("w" + letters.lower()) << _LOW | shape
         return out
 
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a text's words and of their shapes."""
+        found = (text or "").split()
+        both = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return both >> _LOW, both & BUCKETS - 1
+
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Sparse index vectors: of each bucket the places of one +1 and one -1; the last row, of a gap, is empty."""
@@ -65,17 +84,19 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plus, minus = _index_vectors()
         words, total = _Words(), np.zeros((BUCKETS + 1) * (DIM + 1))
-        gap = [BUCKETS] * WINDOW
+        gap = np.full(WINDOW, BUCKETS)
         for pdf in batches:
-            seq: list[int] = []
+            seq: list[np.ndarray] = []
+            held = 0
             for t in pdf["t"]:
-                pairs = [words[w] for w in (t or "").split()]
-                seq += [p[0] for p in pairs] + gap + [p[1] for p in pairs] + gap
-                if len(seq) > 200_000:
-                    _add_contexts(total, np.array(seq, np.int64), plus, minus)
-                    seq = []
+                letters, shapes = words.of(t)
+                seq += [letters, gap, shapes, gap]
+                held += 2 * len(letters)
+                if held > 200_000:
+                    _add_contexts(total, np.concatenate(seq), plus, minus)
+                    seq, held = [], 0
             if seq:
-                _add_contexts(total, np.array(seq, np.int64), plus, minus)
+                _add_contexts(total, np.concatenate(seq), plus, minus)
         rows = total.reshape(BUCKETS + 1, DIM + 1)[:BUCKETS, :DIM]
         met = np.flatnonzero(np.abs(rows).sum(axis=1))
         yield pd.DataFrame({"b": met, **{f"c{i}": rows[met, i] for i in range(DIM)}})
@@ -93,14 +114,13 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def pooled(text: str | None, vectors: np.ndarray, words: _Words) -> np.ndarray:
     """Of a whole text: mean vector of its words, of their shapes, and its length and share of distinct words as
     soft steps.  No words give zeros."""
-    pairs = [words[w] for w in (text or "").split()]
+    letters, shapes = words.of(text)
     out = np.zeros(2 * DIM + 16, np.float32)
-    if pairs:
-        ids = np.array(pairs)
-        out[:DIM] = vectors[ids[:, 0]].mean(axis=0)
-        out[DIM : 2 * DIM] = vectors[ids[:, 1]].mean(axis=0)
-        distinct = len(np.unique(ids[:, 0])) / len(ids)
-        out[2 * DIM : 2 * DIM + 8] = np.clip(np.log2(len(ids) + 1) - np.arange(0, 16, 2), -1, 1)
+    if n := len(letters):
+        out[:DIM] = vectors.take(letters, axis=0).mean(axis=0)
+        out[DIM : 2 * DIM] = vectors.take(shapes, axis=0).mean(axis=0)
+        distinct = len(np.unique(letters)) / n
+        out[2 * DIM : 2 * DIM + 8] = np.clip(np.log2(n + 1) - np.arange(0, 16, 2), -1, 1)
         out[2 * DIM + 8 :] = np.clip((distinct - np.arange(8) / 8) * 8, -1, 1)
     return out
 
