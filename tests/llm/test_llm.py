@@ -386,6 +386,41 @@ def test_quality_held_out(spark):
     assert auc(m["score"], m["quality"].to_numpy()) > 0.9
 
 
+def test_quality_by_brute_force(spark):
+    texts = ["Alpha beta gamma 12 delta", "beta, beta Alpha!", "", None, "one", "é Ü x9 x9"]
+    docs = docs_of(spark, texts)
+    got = quality.word_vectors(docs)
+    plus, minus = quality._index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    kinds = lambda c: "a" if c.islower() else "A" if c.isupper() else "0" if c in "0123456789" else c
+    letters = lambda w: quality._bucket("w" + "".join(c for c in w if c.isalpha()).lower())
+    shape = lambda w: quality._bucket("s" + re.sub(r"(.)\1+", r"\1", "".join(map(kinds, w))))
+    for t in texts:
+        for of in (letters, shape):
+            ids = [of(w) for w in (t or "").split()]
+            for i, a in enumerate(ids):
+                for j, b in enumerate(ids):
+                    if 0 < abs(i - j) <= quality.WINDOW:
+                        want[a, plus[b]] += 1
+                        want[a, minus[b]] -= 1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(got, want, atol=1e-6)
+    rng = np.random.default_rng(3)
+    d = 2 * quality.DIM + 16
+    net = quality.Network(rng.normal(size=d), rng.random(d) + 0.5, (rng.normal(size=(d, 3)), rng.normal(size=3), rng.normal(size=3), 0.3), 1.7)
+    scores = {r["doc_id"]: r["_score"] for r in quality.with_score(docs, quality.Model(got, net)).collect()}
+    for k, t in enumerate(texts):
+        w, x = (t or "").split(), [0.0] * d
+        if w:
+            x[: quality.DIM] = np.mean([got[letters(v)] for v in w], axis=0)
+            x[quality.DIM : 2 * quality.DIM] = np.mean([got[shape(v)] for v in w], axis=0)
+            x[2 * quality.DIM : 2 * quality.DIM + 8] = [min(1, max(-1, math.log2(len(w) + 1) - 2 * i)) for i in range(8)]
+            x[2 * quality.DIM + 8 :] = [min(1, max(-1, (len({letters(v) for v in w}) / len(w) - i / 8) * 8)) for i in range(8)]
+        hidden = [math.tanh(sum((x[i] - net.mean[i]) / net.scale[i] * net.layers[0][i, h] for i in range(d)) + net.layers[1][h]) for h in range(3)]
+        z = sum(h * b for h, b in zip(hidden, net.layers[2], strict=True)) + 0.3
+        assert scores[k] == pytest.approx(1 / (1 + math.exp(-z / 1.7)), rel=1e-4)
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = random.Random(6)
     texts = [" ".join(words(rng, 80)) for _ in range(600)]
@@ -709,6 +744,51 @@ def test_pipeline_stages(spark):
         docs = out
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rng = random.Random(77)
+    items = [" ".join(words(rng, 30)) for _ in range(6)]
+    texts = []
+    for k in range(240):
+        w = words(rng, rng.randint(60, 120))
+        if k % 12 == 0:
+            w[20:20] = items[k // 12 % 6].split()
+        texts.append(" ".join(w))
+    for k in range(30):
+        w = texts[k * 5 + 1].split()
+        w[rng.randrange(len(w))] = "other"
+        texts.append(" ".join(w))
+    texts += [texts[7], None, "", " "]
+    bad = [i for i in range(len(texts)) if i % 9 == 4 and texts[i]]
+    for i in bad:
+        texts[i] += " you idiot moron idiot"
+    rows = [(i, t, "en", ("a", "b", None)[i % 3], 0, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS + ", _score string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, int(i in bad)) for i in range(0, len(texts), 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    model = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    score = dict(zip(range(len(texts)), model.score(texts), strict=True))
+    assert sum(score[i] >= toxicity.THRESHOLD for i in bad) >= 0.9 * len(bad)
+    left = [i for i in range(len(texts)) if score[i] < toxicity.THRESHOLD]
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (texts[i] or "").split()) else set() for i in left}
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    roots = components_by_search(len(texts), [(a, b) for n, a in enumerate(left) for b in left[:n] if alike(shingles[a], shingles[b])])
+    left = [i for i in left if i == min(j for j in left if roots[j] == roots[i])]
+    left = [i for i in left if not slow_hits(texts[i], list(enumerate(items)))]
+    size = {i: len((texts[i] or "").split()) for i in left}
+    assert set(out["doc_id"]) <= set(left) and out["doc_id"].value_counts().max() <= 2
+    per = {s: sum(size[i] for i in left if rows[i][3] == s) for s in ("a", "b", None)}
+    target = dict(zip(per, fill_by_rounds(list(per.values()), [3, 1, 2], 1.5, 2.0), strict=True))
+    for s, want in target.items():
+        got = sum(size[i] for i in out["doc_id"] if rows[i][3] == s)
+        assert abs(got - want) <= 60
+    out["size"] = [len((t or "").encode()) + 1 for t in out["text"]]
+    assert set(out["shard"]) <= set(range(8)) and (out["_score"] == "x").all()
+    check_shards(out, 8, out["size"].max())
+
+
 def test_queries_are_registered():
     import __spark_entry__ as E
 
