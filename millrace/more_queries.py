@@ -208,13 +208,13 @@ def nation_distances(spark, d):
     return _rounded(a.unionByName(b).select("kind", "i", "j", "distance"), ["distance"])
 
 
-_SEARCH = "with e as (select vec_id, cast(embedding as double[]) v from embeddings), d as (select a.vec_id q, b.vec_id n, round(list_distance(a.v, b.v), 6) d, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) k from e a, e b where a.vec_id % 20 = 0)"
+_SEARCH = "with e as (select vec_id, cast(embedding as double[]) v from embeddings), d as (select a.vec_id q, b.vec_id n, round(list_distance(a.v, b.v), 6) d, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) k from e a, e b where a.vec_id % 50 = 0)"
 
 
 def _search(kind):
     def run(spark, d):
         x = _components(spark, d).drop("label")
-        out = kind(k=4, id_col="vec_id").build(x, _ALL).query(x.where("vec_id % 20 = 0"))
+        out = kind(k=4, id_col="vec_id").build(x, _ALL).query(x.where("vec_id % 50 = 0"))
         return out.select("query", "neighbor", F.col("rank").cast("int").alias("rank"), r("distance").alias("distance"))
 
     return run
@@ -403,11 +403,11 @@ for _name, _kind in (("apriori_triples", AprioriAssociator), ("eclat_triples", E
 
 # ---------------------------------------------------------------- rows near each other
 
-_NEAR = "with e as (select vec_id, label % 2 y, [embedding[1], embedding[2], embedding[3]]::double[] v from embeddings), c as (select y, count(*) n from e group by 1), low as (select arg_min(y, (n, cast(y as varchar))) y, min(n) n from c)"
+_NEAR = "with e as (select vec_id, label % 2 y, cast(embedding as double[]) v from embeddings), c as (select y, count(*) n from e group by 1), low as (select arg_min(y, (n, cast(y as varchar))) y, min(n) n from c)"
 
 
 def _halves(spark, d):
-    return t(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
+    return t(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
 
 
 @query("edited_neighbours", _NEAR + ", k as (select a.vec_id, a.y, b.y yn, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) k from e a join e b on a.vec_id <> b.vec_id), s as (select vec_id, y, avg(case when y = yn then 1.0 else 0 end) s from k where k <= 3 group by 1, 2) select vec_id from s, low where not (s < 1 and s.y <> low.y)")

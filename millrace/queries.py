@@ -17,7 +17,7 @@ from .operators.associations import AprioriAssociator
 from .operators.clustering import DBSCANClusterer, LocalOutlierFactorDetector
 from .operators.features import SCORES, InteractionFeaturesGenerator, MathematicalFeaturesGenerator, PolynomialFeaturesGenerator, VarianceThresholdSelector
 from .operators.learners import LinearRegression, NaiveBayesClassifier, NaiveBayesMultinomialClassifier, OneRuleClassifier, SimpleLinearRegression, ZeroRuleClassifier
-from .operators.neighbors import KNearestNeighborsClassifier, KNearestNeighborsRegressor, knn_join, pdist
+from .operators.neighbors import KNearestNeighborsClassifier, KNearestNeighborsRegressor, knn_join
 from .operators.sampling import TomekLinksSampler
 from .plans.splitting import GroupKFold, KFold, StratifiedKFold, TimeSeriesSplit, holdout
 
@@ -298,21 +298,6 @@ def regression_metrics(spark, d):
     return _one(spark, mae=round(M.mean_absolute_error(x, "y", "p"), 4), rmse=round(M.root_mean_squared_error(x, "y", "p"), 4), r2=M.r2_score(x, "y", "p"), corr=M.correlation_coefficient(x, "y", "p"), rae=round(M.relative_absolute_error(x, "y", "p"), 4))
 
 
-_XY = "e as (select vec_id, label, " + ", ".join(f"cast(embedding[{i + 1}] as double) x{i}" for i in range(3)) + " from embeddings)"
-
-
-def _points(spark, d):
-    return t(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
-
-
-@query("calinski", f"with {_XY}, c as (select label, count(*) n, avg(x0) a, avg(x1) b, avg(x2) c from e group by 1), m as (select avg(x0) a, avg(x1) b, avg(x2) c, count(*) n, count(distinct label) k from e), w as (select sum((x0 - a) * (x0 - a) + (x1 - b) * (x1 - b) + (x2 - c) * (x2 - c)) w from e join c using (label)), bt as (select sum(c.n * ((c.a - m.a) * (c.a - m.a) + (c.b - m.b) * (c.b - m.b) + (c.c - m.c) * (c.c - m.c))) s from c, m) select round((s / (k - 1)) / (w / (n - k)), 6) as score from bt, w, m")
-def calinski(spark, d):
-    return _one(spark, score=M.calinski_harabasz_score(_points(spark, d), ["x0", "x1", "x2"], "label"))
-
-
-@query("silhouette", f"with {_XY}, p as (select a.vec_id i, a.label la, b.label lb, sum(sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2)) s, count(*) n from e a, e b group by 1, 2, 3), q as (select i, max(case when la = lb and n > 1 then s / (n - 1) end) a, min(case when la <> lb then s / n end) b from p group by 1) select i as vec_id, round(coalesce((b - a) / greatest(a, b), 0), 5) as silhouette from q")
-def silhouette(spark, d):
-    return _rounded(M.silhouette_samples(_points(spark, d), ["x0", "x1", "x2"], "label", "euclidean", "vec_id"), ["silhouette"], 5)
 
 
 # ---------------------------------------------------------------- text
@@ -323,26 +308,6 @@ def word_tokens(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(T.WordTokenizer()("text")).cast("long").alias("n"))
 
 
-@query("bigram_counts", r"with w as (select doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') w from documents where lang = 'en'), g as (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) b from w) select b as bigram, count(*) as n from g group by 1 having count(*) >= 20")
-def bigram_counts(spark, d):
-    docs = t(spark, d, "documents").where("lang = 'en'")
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")
-    return docs.select(F.explode(T.ngrams(words, 2)).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
-
-
-@query("tfidf_top", r"with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) t from documents where lang = 'en'), tf as (select doc_id, t, count(*) tf from w group by 1, 2), df as (select t, count(*) df from tf group by 1 having count(*) >= 50), n as (select count(*) n from documents where lang = 'en'), x as (select doc_id, t, tf * (ln((n + 1.0) / (df + 1)) + 1) v from tf join df using (t), n), s as (select doc_id, sqrt(sum(v * v)) s from x group by 1) select doc_id, t as token, round(v / s, 5) as weight from x join s using (doc_id)")
-def tfidf_top(spark, d):
-    docs = t(spark, d, "documents").where("lang = 'en'")
-    v = T.TfidfVectorizer(tokenizer=T.RegexTokenizer("[a-z]+"), min_df=50).fit(docs, "text")
-    return _rounded(v.transform(docs, "doc_id"), ["weight"], 5)
-
-
-@query("clean_text", r"select page_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(url, 'https?://[^/]+', ' ', 'g'), '[0-9]+', ' ', 'g')), '\s+', ' ', 'g')) as path from pages")
-def clean_text(spark, d):
-    p = t(spark, d, "pages").select("page_id", F.regexp_replace("url", "https?://[^/]+", " ").alias("path"))
-    return T.TextCleaner(remove_numbers=True, remove_urls=False, remove_emails=False, columns=["path"]).transform(p)
-
-
 @query("stopword_counts", "with w as (select doc_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) w from documents where lang = 'en') select doc_id, count(*) as n from w where lower(w) not in (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ") group by 1")
 def stopword_counts(spark, d):
     docs = t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
@@ -367,8 +332,8 @@ def tfidf_all(spark, d):
     return _rounded(T.TfidfVectorizer().fit(docs, "text").transform(docs, "doc_id"), ["weight"], 5)
 
 
-@query("clean_documents", r"select doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '(?:https?://|www\.)\S+', ' ', 'g'), '\S+@\S+\.\S+', ' ', 'g')), '[0-9]+', ' ', 'g'), '\s+', ' ', 'g')) as text from documents")
-def clean_documents(spark, d):
+@query("clean_text", r"select doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '(?:https?://|www\.)\S+', ' ', 'g'), '\S+@\S+\.\S+', ' ', 'g')), '[0-9]+', ' ', 'g'), '\s+', ' ', 'g')) as text from documents")
+def clean_text(spark, d):
     """Whole texts without markup, addresses and numbers."""
     return T.TextCleaner(remove_numbers=True, columns=["text"]).transform(t(spark, d, "documents").select("doc_id", "text"))
 
@@ -378,41 +343,20 @@ def clean_documents(spark, d):
 _VEC = "e as (select vec_id, label, cast(embedding as double[]) v from embeddings)"
 
 
-@query("knn_l2", f"with {_VEC}, q as (select * from e where vec_id % 10 = 0), p as (select q.vec_id q, e.vec_id n, list_distance(q.v, e.v) d from q, e where q.vec_id <> e.vec_id), k as (select *, row_number() over (partition by q order by d, n) r from p) select q as query, n as neighbor, cast(r as int) as rank, round(d, 6) as distance from k where r <= 5")
+@query("knn_l2", f"with {_VEC}, q as (select * from e where vec_id % 50 = 0), p as (select q.vec_id q, e.vec_id n, list_distance(q.v, e.v) d from q, e where q.vec_id <> e.vec_id), k as (select *, row_number() over (partition by q order by d, n) r from p) select q as query, n as neighbor, cast(r as int) as rank, round(d, 6) as distance from k where r <= 5")
 def knn_l2(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", "embedding")
-    near = knn_join(e.where("vec_id % 10 = 0"), e, 5, "embedding", "vec_id", exclude_self=True)
+    near = knn_join(e.where("vec_id % 50 = 0"), e, 5, "embedding", "vec_id", exclude_self=True)
     return near.select("query", "neighbor", "rank", r(F.col("distance")).alias("distance"))
 
 
-@query("knn_cosine", f"with {_VEC}, q as (select * from e where vec_id % 10 = 0), p as (select q.vec_id q, e.vec_id n, 1 - list_cosine_similarity(q.v, e.v) d from q, e where q.vec_id <> e.vec_id), k as (select *, row_number() over (partition by q order by d, n) r from p) select q as query, n as neighbor, cast(r as int) as rank, round(d, 6) as distance from k where r <= 5")
+@query("knn_cosine", f"with {_VEC}, q as (select * from e where vec_id % 50 = 0), p as (select q.vec_id q, e.vec_id n, 1 - list_cosine_similarity(q.v, e.v) d from q, e where q.vec_id <> e.vec_id), k as (select *, row_number() over (partition by q order by d, n) r from p) select q as query, n as neighbor, cast(r as int) as rank, round(d, 6) as distance from k where r <= 5")
 def knn_cosine(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", "embedding")
-    near = knn_join(e.where("vec_id % 10 = 0"), e, 5, "embedding", "vec_id", "cosine", exclude_self=True)
+    near = knn_join(e.where("vec_id % 50 = 0"), e, 5, "embedding", "vec_id", "cosine", exclude_self=True)
     return near.select("query", "neighbor", "rank", r(F.col("distance")).alias("distance"))
 
 
-_KNN = f"with {_XY}, p as (select a.vec_id q, b.label l, b.x0 y, b.vec_id n, sqrt((a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2) d from e a, e b where a.vec_id % 5 = 0 and b.vec_id % 5 <> 0), k as (select *, row_number() over (partition by q order by d, n) r from p) "
-
-
-@query("knn_classify", _KNN + ", v as (select q, l, count(*) c from k where r <= 7 group by 1, 2), w as (select q, l, row_number() over (partition by q order by c desc, l) r from v) select q as vec_id, l as prediction from w where r = 1")
-def knn_classify(spark, d):
-    e = _points(spark, d)
-    m = KNearestNeighborsClassifier(7, id_col="vec_id").fit(e.where("vec_id % 5 <> 0"), "label", ["x1", "x2"])
-    return m.predict(e.where("vec_id % 5 = 0").drop("label")).select("vec_id", "prediction")
-
-
-@query("knn_regress", _KNN + "select q as vec_id, round(sum(y / d) / sum(1 / d), 6) as prediction from k where r <= 7 group by 1")
-def knn_regress(spark, d):
-    e = _points(spark, d)
-    m = KNearestNeighborsRegressor(7, "inverse", id_col="vec_id").fit(e.where("vec_id % 5 <> 0"), "x0", ["x1", "x2"])
-    return _rounded(m.predict(e.where("vec_id % 5 = 0").drop("x0")).select("vec_id", "prediction"), ["prediction"])
-
-
-@query("pairwise_manhattan", "with e as (select vec_id, cast(embedding as double[]) v from embeddings where vec_id < 50) select a.vec_id as i, b.vec_id as j, round(list_sum(list_transform(range(1, 65), lambda k: abs(a.v[k] - b.v[k]))), 6) as distance from e a, e b where a.vec_id < b.vec_id")
-def pairwise_manhattan(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id < 50")
-    return _rounded(pdist(e, "vec_id", "embedding", "manhattan"), ["distance"])
 
 
 @query("nearest_manhattan", f"with {_VEC}, p as (select a.vec_id q, b.vec_id n, list_sum(list_transform(range(1, 65), lambda k: abs(a.v[k] - b.v[k]))) d from e a, e b where a.vec_id <> b.vec_id), k as (select *, row_number() over (partition by q order by d, n) r from p) select q as query, n as neighbor, round(d, 6) as distance from k where r = 1")
@@ -423,26 +367,6 @@ def nearest_manhattan(spark, d):
     return near.select("query", "neighbor", r(F.col("distance")).alias("distance"))
 
 
-@query("local_outlier_factor", f"with {_XY}, p as (select a.vec_id q, b.vec_id n, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2) d from e a, e b where a.vec_id <> b.vec_id), k as (select * from (select *, row_number() over (partition by q order by d, n) r from p) where r <= 10), kd as (select q n, max(d) kd from k group by 1), lrd as (select q, 1 / greatest(avg(greatest(d, kd)), 1e-10) l from k join kd using (n) group by 1) select k.q as vec_id, round(avg(b.l) / max(a.l), 5) as score from k join lrd a on a.q = k.q join lrd b on b.q = k.n group by 1")
-def local_outlier_factor(spark, d):
-    e = _points(spark, d)
-    s = LocalOutlierFactorDetector(10, id_col="vec_id").fit(e, None, ["x0", "x1", "x2"]).decision_function(e)
-    return s.select("vec_id", r(F.col("score"), 5).alias("score"))
-
-
-@query("dbscan", f"with recursive {_XY}, p as (select a.vec_id a, b.vec_id b, sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2) d from e a, e b), n as (select a, b, d from p where d <= 0.05), core as (select a from n group by 1 having count(*) >= 4), cl as (select a, b from n where a in (from core) and b in (from core)), reach as (select a, a as b from core union select r.a, cl.b from reach r join cl on cl.a = r.b), comp as (select a, min(b) c from reach group by 1), num as (select a, dense_rank() over (order by c) - 1 k from comp), near as (select n.a, k, row_number() over (partition by n.a order by d, k) r from n join num on num.a = n.b) select vec_id, cast(coalesce(k, -1) as int) as cluster from e left join (select * from near where r = 1) x on x.a = e.vec_id")
-def dbscan(spark, d):
-    e = _points(spark, d).select("vec_id", "x0", "x1")
-    m = DBSCANClusterer(0.05, 4, id_col="vec_id").fit(e, None, ["x0", "x1"])
-    return m.predict(e).select("vec_id", F.col("prediction").cast("int").alias("cluster"))
-
-
-@query("tomek_links", f"with {_XY}, f as (select vec_id, cast(label = 0 as int) y, x0, x1 from e), p as (select a.vec_id q, b.vec_id n, a.y ya, b.y yb, row_number() over (partition by a.vec_id order by (a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2, b.vec_id) r from f a, f b where a.vec_id <> b.vec_id), k as (select * from p where r = 1), l as (select k.q from k join k m on k.n = m.q and m.n = k.q where k.ya <> k.yb and k.ya = 0) select vec_id, y from f where vec_id not in (select q from l)")
-def tomek_links(spark, d):
-    e = _points(spark, d).select("vec_id", (F.col("label") == 0).cast("int").alias("y"), "x0", "x1")
-    return TomekLinksSampler(id_col="vec_id").fit(e, "y").transform(e).select("vec_id", "y")
-
-
 # ---------------------------------------------------------------- the same on whole vectors
 
 _ALL = [f"x{i}" for i in range(64)]
@@ -452,50 +376,50 @@ def _vectors(spark, d):
     return t(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_ALL)])
 
 
-@query("calinski_vectors", f"with {_VEC}, u as (select label, unnest(v) x, unnest(range(1, 65)) k from e), c as (select label, k, count(*) n, avg(x) a from u group by 1, 2), m as (select k, avg(x) a from u group by 1), w as (select sum((x - a) * (x - a)) w from u join c using (label, k)), bt as (select sum(c.n * (c.a - m.a) * (c.a - m.a)) s from c join m using (k)), g as (select count(*) n, count(distinct label) k from e) select round((s / (k - 1)) / (w / (n - k)), 6) as score from bt, w, g")
-def calinski_vectors(spark, d):
+@query("calinski", f"with {_VEC}, u as (select label, unnest(v) x, unnest(range(1, 65)) k from e), c as (select label, k, count(*) n, avg(x) a from u group by 1, 2), m as (select k, avg(x) a from u group by 1), w as (select sum((x - a) * (x - a)) w from u join c using (label, k)), bt as (select sum(c.n * (c.a - m.a) * (c.a - m.a)) s from c join m using (k)), g as (select count(*) n, count(distinct label) k from e) select round((s / (k - 1)) / (w / (n - k)), 6) as score from bt, w, g")
+def calinski(spark, d):
     return _one(spark, score=M.calinski_harabasz_score(_vectors(spark, d), _ALL, "label"))
 
 
-@query("silhouette_vectors", f"with {_VEC}, p as (select a.vec_id i, a.label la, b.label lb, sum(list_distance(a.v, b.v)) s, count(*) n from e a, e b group by 1, 2, 3), q as (select i, max(case when la = lb and n > 1 then s / (n - 1) end) a, min(case when la <> lb then s / n end) b from p group by 1) select i as vec_id, round(coalesce((b - a) / greatest(a, b), 0), 5) as silhouette from q")
-def silhouette_vectors(spark, d):
+@query("silhouette", f"with {_VEC}, p as (select a.vec_id i, a.label la, b.label lb, sum(list_distance(a.v, b.v)) s, count(*) n from e a, e b group by 1, 2, 3), q as (select i, max(case when la = lb and n > 1 then s / (n - 1) end) a, min(case when la <> lb then s / n end) b from p group by 1) select i as vec_id, round(coalesce((b - a) / greatest(a, b), 0), 5) as silhouette from q")
+def silhouette(spark, d):
     return _rounded(M.silhouette_samples(_vectors(spark, d), _ALL, "label", "euclidean", "vec_id"), ["silhouette"], 5)
 
 
 _KNN_ALL = f"with {_VEC}, p as (select a.vec_id q, b.label l, b.v[1] y, b.vec_id n, list_distance({{0}}) d from e a, e b where a.vec_id % 5 = 0 and b.vec_id % 5 <> 0), k as (select *, row_number() over (partition by q order by d, n) r from p) "
 
 
-@query("knn_classify_vectors", _KNN_ALL.format("a.v, b.v") + ", v as (select q, l, count(*) c from k where r <= 7 group by 1, 2), w as (select q, l, row_number() over (partition by q order by c desc, l) r from v) select q as vec_id, l as prediction from w where r = 1")
-def knn_classify_vectors(spark, d):
+@query("knn_classify", _KNN_ALL.format("a.v, b.v") + ", v as (select q, l, count(*) c from k where r <= 7 group by 1, 2), w as (select q, l, row_number() over (partition by q order by c desc, l) r from v) select q as vec_id, l as prediction from w where r = 1")
+def knn_classify(spark, d):
     e = _vectors(spark, d)
     m = KNearestNeighborsClassifier(7, id_col="vec_id").fit(e.where("vec_id % 5 <> 0"), "label", _ALL)
     return m.predict(e.where("vec_id % 5 = 0").drop("label")).select("vec_id", "prediction")
 
 
-@query("knn_regress_vectors", _KNN_ALL.format("a.v[2:], b.v[2:]") + "select q as vec_id, round(sum(y / d) / sum(1 / d), 6) as prediction from k where r <= 7 group by 1")
-def knn_regress_vectors(spark, d):
+@query("knn_regress", _KNN_ALL.format("a.v[2:], b.v[2:]") + "select q as vec_id, round(sum(y / d) / sum(1 / d), 6) as prediction from k where r <= 7 group by 1")
+def knn_regress(spark, d):
     """The first component from the 63 others."""
     e = _vectors(spark, d)
     m = KNearestNeighborsRegressor(7, "inverse", id_col="vec_id").fit(e.where("vec_id % 5 <> 0"), "x0", _ALL[1:])
     return _rounded(m.predict(e.where("vec_id % 5 = 0").drop("x0")).select("vec_id", "prediction"), ["prediction"])
 
 
-@query("local_outlier_factor_vectors", f"with {_VEC}, p as (select a.vec_id q, b.vec_id n, list_distance(a.v, b.v) d from e a, e b where a.vec_id <> b.vec_id), k as (select * from (select *, row_number() over (partition by q order by d, n) r from p) where r <= 10), kd as (select q n, max(d) kd from k group by 1), lrd as (select q, 1 / greatest(avg(greatest(d, kd)), 1e-10) l from k join kd using (n) group by 1) select k.q as vec_id, round(avg(b.l) / max(a.l), 5) as score from k join lrd a on a.q = k.q join lrd b on b.q = k.n group by 1")
-def local_outlier_factor_vectors(spark, d):
+@query("local_outlier_factor", f"with {_VEC}, p as (select a.vec_id q, b.vec_id n, list_distance(a.v, b.v) d from e a, e b where a.vec_id <> b.vec_id), k as (select * from (select *, row_number() over (partition by q order by d, n) r from p) where r <= 10), kd as (select q n, max(d) kd from k group by 1), lrd as (select q, 1 / greatest(avg(greatest(d, kd)), 1e-10) l from k join kd using (n) group by 1) select k.q as vec_id, round(avg(b.l) / max(a.l), 5) as score from k join lrd a on a.q = k.q join lrd b on b.q = k.n group by 1")
+def local_outlier_factor(spark, d):
     e = _vectors(spark, d)
     s = LocalOutlierFactorDetector(10, id_col="vec_id").fit(e, None, _ALL).decision_function(e)
     return s.select("vec_id", r(F.col("score"), 5).alias("score"))
 
 
-@query("dbscan_vectors", f"with recursive {_VEC}, p as (select a.vec_id a, b.vec_id b, list_distance(a.v, b.v) d from e a, e b), n as (select a, b, d from p where d <= 1.15), core as (select a from n group by 1 having count(*) >= 4), cl as (select a, b from n where a in (from core) and b in (from core)), reach as (select a, a as b from core union select r.a, cl.b from reach r join cl on cl.a = r.b), comp as (select a, min(b) c from reach group by 1), num as (select a, dense_rank() over (order by c) - 1 k from comp), near as (select n.a, k, row_number() over (partition by n.a order by d, k) r from n join num on num.a = n.b) select vec_id, cast(coalesce(k, -1) as int) as cluster from e left join (select * from near where r = 1) x on x.a = e.vec_id")
-def dbscan_vectors(spark, d):
+@query("dbscan", f"with recursive {_VEC}, p as (select a.vec_id a, b.vec_id b, list_distance(a.v, b.v) d from e a, e b), n as (select a, b, d from p where d <= 1.15), core as (select a from n group by 1 having count(*) >= 4), cl as (select a, b from n where a in (from core) and b in (from core)), reach as (select a, a as b from core union select r.a, cl.b from reach r join cl on cl.a = r.b), comp as (select a, min(b) c from reach group by 1), num as (select a, dense_rank() over (order by c) - 1 k from comp), near as (select n.a, k, row_number() over (partition by n.a order by d, k) r from n join num on num.a = n.b) select vec_id, cast(coalesce(k, -1) as int) as cluster from e left join (select * from near where r = 1) x on x.a = e.vec_id")
+def dbscan(spark, d):
     e = _vectors(spark, d).drop("label")
     m = DBSCANClusterer(1.15, 4, id_col="vec_id").fit(e, None, _ALL)
     return m.predict(e).select("vec_id", F.col("prediction").cast("int").alias("cluster"))
 
 
-@query("tomek_links_vectors", f"with {_VEC}, f as (select vec_id, cast(label = 0 as int) y, v from e), p as (select a.vec_id q, b.vec_id n, a.y ya, b.y yb, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) r from f a, f b where a.vec_id <> b.vec_id), k as (select * from p where r = 1), l as (select k.q from k join k m on k.n = m.q and m.n = k.q where k.ya <> k.yb and k.ya = 0) select vec_id, y from f where vec_id not in (select q from l)")
-def tomek_links_vectors(spark, d):
+@query("tomek_links", f"with {_VEC}, f as (select vec_id, cast(label = 0 as int) y, v from e), p as (select a.vec_id q, b.vec_id n, a.y ya, b.y yb, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) r from f a, f b where a.vec_id <> b.vec_id), k as (select * from p where r = 1), l as (select k.q from k join k m on k.n = m.q and m.n = k.q where k.ya <> k.yb and k.ya = 0) select vec_id, y from f where vec_id not in (select q from l)")
+def tomek_links(spark, d):
     e = _vectors(spark, d).select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *_ALL)
     return TomekLinksSampler(id_col="vec_id").fit(e, "y").transform(e).select("vec_id", "y")
 
