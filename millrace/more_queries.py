@@ -13,11 +13,14 @@ from .functions import metrics as M
 from .functions import stats as S
 from .functions import text as T
 from .operators import features as FE
+from .operators import learners as L
 from .operators import neighbors as N
+from .operators import preprocessing as P
 from .operators import timeseries as TS
 from .operators.associations import AprioriAssociator, ECLATAssociator, FPGrowthAssociator
 from .operators.sampling import ENNSampler, NearMissSampler
 from .plans import splitting as SP
+from .plans import workflow as W
 from .plans.graph import ensure_checkpoint_dir
 from .queries import _BIN, _TABLE, _binary, _one, _rounded, query, r, t
 from .sources import files
@@ -456,3 +459,68 @@ def load_parquet_partitioned(spark, d):
 @query("load_pandas", "select cast(dense_rank() over (order by n_name) - 1 as double) as n_name, n_regionkey from nation")
 def load_pandas(spark, d):
     return files.load_pandas(spark, t(spark, d, "nation").select("n_name", "n_regionkey").toPandas(), "n_regionkey").frame.select("n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+# ---------------------------------------------------------------- further
+
+
+@query("data_profile", "select c as name, round(avg(x), 4) as mean, round(stddev_pop(x), 4) as std, min(x) as low, max(x) as high, count(*) - count(x) as missing from (select 'value' c, case when event_id % 7 <> 0 then value end x from events union all select 'user_id', cast(user_id as double) from events) group by 1")
+def data_profile(spark, d):
+    e = t(spark, d, "events").select(F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), "user_id")
+    p = W.execute_data_profile(e)
+    rows = [(c, *[float(p["statistics"][c][k]) for k in ("mean", "std", "min", "max")], int(p["missing"][c])) for c in ("value", "user_id")]
+    return _rounded(spark.createDataFrame(rows, "name string, mean double, std double, low double, high double, missing long"), ["mean", "std"], 4)
+
+
+@query("read_data", "select n_nationkey, n_name from nation where n_regionkey = 3")
+def read_data(spark, d):
+    rows = W.execute_read_data(t(spark, d, "nation"), 100, condition="n_regionkey = 3", columns=["n_nationkey", "n_name"])
+    return spark.createDataFrame([tuple(x.values()) for x in rows], "n_nationkey int, n_name string")
+
+
+@query("label_encode", "select o_orderkey, cast(dense_rank() over (order by o_orderpriority) - 1 as double) as code from orders")
+def label_encode(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return P.LabelEncoder(columns=["o_orderpriority"]).fit_transform(o).select("o_orderkey", F.col("o_orderpriority").cast("double").alias("code"))
+
+
+@query("normalized_text", r"select doc_id, md5(trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g'))) as digest from documents")
+def normalized_text(spark, d):
+    out = T.TextNormalizer(form=None, columns=["text"]).fit_transform(t(spark, d, "documents"))
+    return out.select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("stratified_holdout_split", "select o_orderkey, row_number() over (partition by o_orderstatus order by md5('2:' || o_orderkey), o_orderkey) <= greatest(1, floor(count(*) over (partition by o_orderstatus) * 0.3)) as test from orders")
+def stratified_holdout_split(spark, d):
+    ((a, b),) = SP.StratifiedHoldoutSplit(0.3, True, 2, "o_orderkey").split(t(spark, d, "orders"), "o_orderstatus")
+    return a.select("o_orderkey", F.lit(False).alias("test")).unionByName(b.select("o_orderkey", F.lit(True).alias("test")))
+
+
+_LINES = "with m as (select regr_slope(l_extendedprice, l_quantity) a, regr_intercept(l_extendedprice, l_quantity) b, regr_slope(l_extendedprice, l_tax) c, regr_intercept(l_extendedprice, l_tax) e from lineitem)"
+
+
+@query("voting_regressor", _LINES + " select l_orderkey, l_linenumber, round((a * l_quantity + b + c * l_tax + e) / 2, 3) as prediction from lineitem, m")
+def voting_regressor(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_extendedprice")
+
+    class One(L.SimpleLinearRegression):
+        """On one column only."""
+
+        def fit(self, df, label=None, features=None):
+            return super().fit(df, label, [self.column])
+
+    a, b = One(), One()
+    a.column, b.column = "l_quantity", "l_tax"
+    m = L.VotingRegressor([a, b]).fit(x, "l_extendedprice", ["l_quantity", "l_tax"])
+    return m.predict(x).select("l_orderkey", "l_linenumber", r("prediction", 3).alias("prediction"))
+
+
+@query("kernel_density", "with m as (select min(s_acctbal) lo, max(s_acctbal) hi, stddev_pop(s_acctbal) * pow(count(*), -0.2) w, count(*) n from supplier), c as (select least(floor((s_acctbal - lo) / ((hi - lo) / 256)), 255) c, count(*) k, avg(s_acctbal) a from supplier, m group by 1) select s_suppkey, round(10000 * sum(k / n * exp(-(s_acctbal - a) * (s_acctbal - a) / (2 * w * w))) / max(w * sqrt(2 * pi())), 6) as density from supplier, c, m group by 1")
+def kernel_density(spark, d):
+    x = t(spark, d, "supplier")
+    return x.select("s_suppkey", r(10000 * E.KernelEstimator().fit(x, "s_acctbal").probability(F.col("s_acctbal"))).alias("density"))
+
+
+@query("seasonal_forecast", _SERIES + ", l as (select u, regr_slope(y, i - 1) a, regr_intercept(y, i - 1) b, max(n) n from s group by 1), r as (select s.u, (i - 1) % 4 k, avg(y - b - a * (i - 1)) m from s join l on s.u = l.u group by 1, 2) select l.u as user_id, cast(h as int) as step, round(b + a * (n + h - 1) + coalesce(m, 0), 5) as prediction from l cross join range(1, 4) t(h) left join r on r.u = l.u and r.k = (n + h - 1) % 4")
+def seasonal_forecast(spark, d):
+    return _steps(_forecast(spark, d, TS.Prophet(period=4)))

@@ -485,7 +485,12 @@ def linear_regression(spark, d):
     return _one(spark, quantity=round(float(m.coef[0]), 3), discount=round(float(m.coef[1]), 3))
 
 
-@query("one_rule")
+_BINS = ", ".join(f"l{i} as (select min({c}) lo, max({c}) hi from lineitem), b{i} as (select " + " + ".join(f"(case when {c} >= lo + (hi - lo) * {k} / 10 then 1 else 0 end)" for k in range(1, 10)) + f" b, l_returnflag y from lineitem, l{i}), r{i} as (select b, arg_max(y, (n, y)) k, sum(n) t, max(n) m from (select b, y, count(*) n from b{i} group by 1, 2) group by 1)" for i, c in enumerate(FEATS))
+_RIGHT = " union all ".join(f"select {i} i, sum(m) s from r{i}" for i in range(len(FEATS)))
+_GUESSED = " union all ".join(f"select {i} i, case when t >= 6 then k else (select l_returnflag from lineitem group by 1 order by count(*) desc, 1 limit 1) end prediction from b{i} join r{i} using (b)" for i in range(len(FEATS)))
+
+
+@query("one_rule", f"with {_BINS}, s as ({_RIGHT}), best as (select i from s order by s desc, i limit 1), g as ({_GUESSED}) select prediction, count(*) as count from g join best using (i) group by 1")
 def one_rule(spark, d):
     x = _lines(spark, d, "l_returnflag")
     return OneRuleClassifier().fit(x, "l_returnflag", FEATS).predict(x).groupBy("prediction").count()
