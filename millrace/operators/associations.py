@@ -88,7 +88,30 @@ class Associator(Params):
 
 @associator
 class AprioriAssociator(Associator):
-    pass
+    """Sets of two at most are counted level by level: frequent items, then pairs of these within the baskets, which
+    spares growing larger sets.  A basket's pairs are its square, so this is for baskets of up to ``PAIRED`` frequent items;
+    with longer ones, and for larger sets, FP-growth does the counting."""
+
+    PAIRED = 200
+
+    def fit(self, df, items="items"):
+        if self.max_itemset_size is None or self.max_itemset_size > 2:
+            return super().fit(df, items)
+        baskets = df.select(F.array_distinct(F.filter(items, lambda x: x.isNotNull())).alias("items"))
+        self.n = baskets.count()
+        least = max(1, math.ceil(self.min_support * self.n - 1e-9))
+        one = baskets.select(F.explode("items").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
+        sets = one.select(F.array("x").alias("items"), "count")
+        if self.max_itemset_size == 2:
+            keyed = baskets.withColumn("o", F.monotonically_increasing_id())
+            kept = keyed.select("o", F.explode("items").alias("x")).join(one.select("x"), "x").groupBy("o").agg(F.array_sort(F.collect_list("x")).alias("items"))
+            if (kept.agg(F.max(F.size("items"))).first()[0] or 0) > self.PAIRED:
+                return super().fit(df, items)
+            ends = F.transform("items", lambda x, i: F.transform(F.filter("items", lambda y: y > x), lambda y: F.array(x, y)))
+            two = kept.select(F.explode(F.flatten(ends)).alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
+            sets = sets.unionByName(two)
+        self.itemsets = sets.withColumn("support", F.col("count") / F.lit(max(self.n, 1)))
+        return self
 
 
 @associator

@@ -75,11 +75,13 @@ class OneRuleClassifier(Classifier):
         self.binner = EqualWidthDiscretizer(self.n_bins, self.features).fit(df)
         b = self.binner.transform(df)
         best = (-1.0, None, {})
-        for c in self.features:
-            rule, right, per = {}, 0, {}
-            for r in b.groupBy(c, label).count().collect():
-                per.setdefault(r[c], []).append((r["count"], r[label]))
-            for v, rows in per.items():
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(self.features)]))
+        counts: dict = {}
+        for r in b.select(F.col(label).alias("y"), cells.alias("x")).groupBy("x.i", "x.v", "y").count().collect():
+            counts.setdefault(r["i"], {}).setdefault(r["v"], []).append((r["count"], r["y"]))
+        for i, c in enumerate(self.features):
+            rule, right = {}, 0
+            for v, rows in counts.get(i, {}).items():
                 n, k = max(rows, key=lambda t: (t[0], str(t[1])))
                 right += n
                 if v is not None and sum(x[0] for x in rows) >= self.min_bucket_size:
