@@ -259,7 +259,7 @@ def test_text_queries_read_all_documents(spark):
     words = docs.select(F.size(T.WordTokenizer()("text")).alias("n"))
     pairs = words.agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0)))).first()[0]
     assert QUERIES["bigrams_all"](spark, d).agg(F.sum("n")).first()[0] == pairs
-    assert QUERIES["clean_documents"](spark, d).count() == docs.count()
+    assert QUERIES["clean_text"](spark, d).count() == docs.count()
 
 
 def test_vector_queries_use_all_components(spark, tmp_path):
@@ -270,10 +270,10 @@ def test_vector_queries_use_all_components(spark, tmp_path):
     x = np.zeros((60, 64))
     x[:, 10:] = rng.normal(size=(60, 54)) * 0.01 + label[:, None]
     spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x, strict=True))], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = QUERIES["knn_classify_vectors"](spark, str(tmp_path)).toPandas()
+    got = QUERIES["knn_classify"](spark, str(tmp_path)).toPandas()
     assert (got["prediction"] == got["vec_id"] % 3).all()
-    assert QUERIES["silhouette_vectors"](spark, str(tmp_path)).agg(F.min("silhouette")).first()[0] > 0.9
-    assert QUERIES["dbscan_vectors"](spark, str(tmp_path)).select("cluster").distinct().count() == 3
+    assert QUERIES["silhouette"](spark, str(tmp_path)).agg(F.min("silhouette")).first()[0] > 0.9
+    assert QUERIES["dbscan"](spark, str(tmp_path)).select("cluster").distinct().count() == 3
 
 
 def test_no_silent_caps(spark, monkeypatch):
