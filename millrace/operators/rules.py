@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..base import Classifier, Regressor, classifier, clean, one_row, regressor, sampler
 from .clustering import KMeansClusterer
-from .learners import DecisionTreeClassifier, DecisionTreeRegressor, LinearRegression, LogisticRegression, ZeroRuleClassifier, argmax_class, classes_of  # type: ignore[attr-defined]
+from .learners import DecisionTreeClassifier, DecisionTreeRegressor, LinearRegression, LogisticRegression, ZeroRuleClassifier, classes_of  # type: ignore[attr-defined]
 from .neighbors import knn_join
 from .preprocessing import QuantileDiscretizer
 from .sampling import SMOTESampler, _Sampler, repeat_rows
