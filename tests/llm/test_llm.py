@@ -717,6 +717,32 @@ def test_embedding_links_and_recall(spark, block):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def pairs_at(rng, n, dim, cosine):
+    x, t = rng.normal(size=(2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t -= (t * x).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * t / np.linalg.norm(t, axis=1, keepdims=True)
+
+
+def test_embedding_links_do_not_depend_on_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "JOIN_THREE", 1000, raising=False)  # the number at which cells once changed
+    rng = np.random.default_rng(4)
+    x = np.r_[np.concatenate(pairs_at(rng, 400, 64, 0.91)), rng.normal(size=(2000, 64))]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    few = sorted(embeddings.near_duplicates(df.where("vec_id < 800"), threshold=0.9).collect())
+    many = sorted(embeddings.near_duplicates(df, threshold=0.9).where("vec_id < 800").collect())
+    assert few == many
+    assert 100 < sum(r["n_links"] for r in few) <= 800
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 5, 7, 8, 12, 64, 300])
+def test_embedding_cells_bring_links_together(dim):
+    x, y = pairs_at(np.random.default_rng(dim), 4000, dim, 0.98) if dim > 1 else np.random.default_rng(1).uniform(1, 9, (2, 4000, 1))
+    lattice = embeddings.Lattice()
+    a, b = (lattice.cells(v / np.linalg.norm(v, axis=1, keepdims=True)).reshape(4000, lattice.tables, -1) for v in (x, y))
+    assert (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean() >= 0.998
+
+
 # ---------------------------------------------------------------- pipeline
 
 
